@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,7 +13,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, so that functions sent to them can be loaded."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="loomtext-"), "loomtext.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for at, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.join("loomtext", os.path.relpath(os.path.join(at, f), home)))
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
