@@ -13,12 +13,13 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patt
 
 
 def offset_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """ledger() with start and end: code points of the original text, end exclusive."""
+    """ledger() with start and end (code points of the original text, end exclusive) and stop: whether a sentence mark follows."""
     pieces = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(T.PIECE), F.lit(0))).alias("pos", "piece"))
     before = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = pieces.select("doc_id", "pos", F.regexp_extract("piece", T.WORD, 0).alias("raw"), "piece", before.alias("before"))
+    stop = F.coalesce(F.lead("piece").over(Window.partitionBy("doc_id").orderBy("pos")).rlike(r"^[.!?][\"”’)\]]*\s"), F.lit(False))
+    at = pieces.select("doc_id", "pos", F.regexp_extract("piece", T.WORD, 0).alias("raw"), "piece", before.alias("before"), stop.alias("stop"))
     end = F.col("before") + F.length("piece")
-    return at.select("doc_id", "pos", F.lower("raw").alias("w"), (end - F.length("raw")).cast("int").alias("start"), end.cast("int").alias("end"))
+    return at.select("doc_id", "pos", F.lower("raw").alias("w"), (end - F.length("raw")).cast("int").alias("start"), end.cast("int").alias("end"), "stop")
 
 
 def grams(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
