@@ -14,12 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomtext.llm.batches import map_texts, parts
+
 DIM = 1024
 TRAIN_ROWS = 40_000
 UNKNOWN = "und"
 _BLANK = 32
 _BLOCK = 128
-_CHARS = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -82,19 +83,6 @@ def document_vectors(texts, dim: int) -> np.ndarray:
     return out
 
 
-def _blocks(pdf: pd.DataFrame):
-    """Slices of the frame of at most _BLOCK rows and about _CHARS characters (or one longer text)."""
-    start, held = 0, 0
-    for k, text in enumerate(pdf["text"]):
-        n = len(text or "")
-        if k > start and (k - start >= _BLOCK or held + n > _CHARS):
-            yield pdf.iloc[start:k]
-            start, held = k, 0
-        held += n
-    if start < len(pdf):
-        yield pdf.iloc[start:]
-
-
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = DIM, rows: int = TRAIN_ROWS) -> dict[str, list[float]]:
     """Prototypes (unit vectors) by language from the labelled rows of docs.
 
@@ -109,12 +97,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def sums(batches):
         held: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for part in _blocks(pdf):
-                v = document_vectors(part["text"], dim).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                for lang, at in part.groupby("lang").indices.items():
-                    held[lang] = held.get(lang, 0) + v[at].sum(axis=0)
+        for part in parts(batches, _BLOCK):
+            v = document_vectors(part["text"], dim).astype(np.float64)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            for lang, at in part.groupby("lang").indices.items():
+                held[lang] = held.get(lang, 0) + v[at].sum(axis=0)
         yield pd.DataFrame({"lang": list(held), "v": list(held.values())})
 
     parts = marked.select("text", "lang").mapInPandas(sums, "lang string, v array<double>")
@@ -136,24 +123,16 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32)
 
-    def run(batches):
-        for pdf in batches:
-            langs, scores = [], []
-            for part in _blocks(pdf):
-                if not names:
-                    langs += [UNKNOWN] * len(part)
-                    scores += [0.0] * len(part)
-                    continue
-                v = document_vectors(part["text"], matrix.shape[1])
-                norm = np.linalg.norm(v.astype(np.float64), axis=1)
-                cos = (v @ matrix.T) / np.maximum(norm, 1e-9)[:, None]
-                best = cos.argmax(axis=1)
-                langs += [names[b] if n else UNKNOWN for b, n in zip(best, norm, strict=True)]
-                scores += [float(min(max(cos[k, b], 0.0), 1.0)) if norm[k] else 0.0 for k, b in enumerate(best)]
-            yield pdf.drop(columns="text").assign(lang_pred=langs, score=np.array(scores, float))
-
-    kept = docs.select(F.col(id_col), *(keep or []), F.col(text_col).cast("string").alias("__text"))
-    fields = [(f"c{k}", f.name, f.dataType.simpleString()) for k, f in enumerate(kept.schema.fields[:-1])]
-    plain = kept.toDF(*[c for c, _, _ in fields], "text")
-    done = plain.mapInPandas(run, ", ".join(f"{c} {kind}" for c, _, kind in fields) + ", lang_pred string, score double")
-    return done.select(*[F.col(c).alias(name) for c, name, _ in fields], "lang_pred", "score")
+    def make(texts):
+        if not names:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        v = document_vectors(texts, matrix.shape[1])
+        norm = np.linalg.norm(v.astype(np.float64), axis=1)
+        cos = (v @ matrix.T) / np.maximum(norm, 1e-9)[:, None]
+        best = cos.argmax(axis=1)
+        langs = [names[b] if n else UNKNOWN for b, n in zip(best, norm, strict=True)]
+        return langs, [float(min(max(cos[k, b], 0.0), 1.0)) if norm[k] else 0.0 for k, b in enumerate(best)]
+
+    kept = docs.select(F.col(id_col), *(keep or []))
+    exprs = {name: c for name, c in zip(kept.columns, [F.col(id_col), *(keep or [])], strict=True)}
+    return map_texts(docs, exprs, F.col(text_col).cast("string"), {"lang_pred": "string", "score": "double"}, make, rows=_BLOCK)

@@ -15,9 +15,10 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from loomtext.llm.batches import map_texts
+
 #: Kinds in the order of ties, their keywords and expressions.
 KINDS = ("assign", "access", "hex", "github", "npm")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
@@ -123,17 +124,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     is as the empty one; repeated rows each get a row; an empty table gives none; other input columns are ignored.
     """
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                spans = find_spans(text)
-                base = [s for s in spans if s[0] in KINDS[:3]]
-                counts = [sum(s[0] == k for s in base) for k in KINDS[:3]]
-                out.append((*counts, len(spans) - len(base), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            yield pd.DataFrame({"id": pdf["id"]}).join(pd.DataFrame(out, columns=["a", "c", "h", "k", "b", "s"], index=pdf.index))
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    done = rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, a long, c long, h long, k long, b string, s string")
-    names = {"a": "n_assign", "c": "n_access", "h": "n_hex", "k": "n_checked", "b": "base_sha256", "s": "spans"}
-    return done.select(F.col("id").alias(id_col), *[F.col(k).alias(v) for k, v in names.items()])
+    def make(texts):
+        out = []
+        for text in texts:
+            spans = find_spans(text)
+            base = [s for s in spans if s[0] in KINDS[:3]]
+            counts = [sum(s[0] == k for s in base) for k in KINDS[:3]]
+            out.append((*counts, len(spans) - len(base), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+        return list(zip(*out))
+
+    fields = {"n_assign": "long", "n_access": "long", "n_hex": "long", "n_checked": "long", "base_sha256": "string", "spans": "string"}
+    return map_texts(docs, {id_col: F.col(id_col)}, F.col(text_col).cast("string"), fields, make)

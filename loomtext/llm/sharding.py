@@ -7,6 +7,8 @@ with their slot. The map has as many rows as there are slots, whatever the numbe
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomtext.session import materialize
@@ -32,29 +34,29 @@ def rebalance(shard_of: dict[int, int], sizes: dict[int, int], shards: int, tole
     for slot, shard in new.items():
         load[shard] += sizes.get(slot, 0)
         held[shard].add(slot)
-    mean = sum(load) / shards
-    for _ in range(4 * len(new)):
-        high, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
+    size = lambda s: sizes.get(s, 0)
+    mean, open_ = sum(load) / shards, set(range(shards))
+    for _ in range(8 * len(new)):
+        if not open_:
+            break
+        high, low = max(open_, key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
         gap = load[high] - load[low]
         if gap <= tolerance * mean:
             break
-        size = lambda s: sizes.get(s, 0)
         move = max((s for s in held[high] if 0 < size(s) < gap), key=lambda s: (-abs(gap - 2 * size(s)), -s), default=None)
-        best = abs(gap - 2 * size(move)) if move is not None else gap
-        swap = None
+        best, swap = abs(gap - 2 * size(move)) if move is not None else gap, None
         if best > tolerance * mean:  # no single slot fits: look for a pair whose exchange does
             there = sorted(held[low], key=lambda s: (size(s), s))
-            import bisect
-
             at = [size(s) for s in there]
-            for s in held[high]:
+            for s in sorted(held[high]):
                 k = bisect.bisect_left(at, size(s) - gap / 2)
                 for t in there[max(0, k - 1) : k + 1]:
                     d = size(s) - size(t)
                     if 0 < d < gap and abs(gap - 2 * d) < best:
                         best, swap = abs(gap - 2 * d), (s, t)
         if best >= gap:
-            break
+            open_.discard(high)  # one large slot: the others are still evened out
+            continue
         for slot, a, b in [(swap[0], high, low), (swap[1], low, high)] if swap else [(move, high, low)]:
             held[a].discard(slot)
             held[b].add(slot)

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from loomtext.llm.batches import parts
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 KEPT_PARTS = 400_000
@@ -72,7 +74,8 @@ class UnigramCounter:
         if not text:
             return 0, 0
         seen, pieces, odd = self.seen, 0, 0
-        for part in text.split(" "):
+        marked = text.replace(" ", MARK)
+        for part in marked.split(MARK)[marked[0] == MARK :]:
             found = seen.get(part)
             if found is None:
                 found = self.part(MARK + part)
@@ -102,14 +105,15 @@ def count_tokens(docs: DataFrame, vocab: list[tuple[str, float]], byte_fallback:
     """Pieces in the best segmentation of each whole text.
 
     Returns one row per input row: id_col, n_tokens and n_unknown (characters that are no piece), both long. A null or
-    empty text has none; a space makes a part even where it leads, ends or repeats; repeated rows each get a row; an
+    empty text has none; a space makes a part of its own where it ends the text or repeats, and a leading one stands for the
+    mark; the mark itself in a text is as a space; repeated rows each get a row; an
     empty table gives none; other input columns are ignored. The vocabulary travels with the tasks; its size is fixed.
     """
     entries = tuple(vocab)
 
     def run(batches):
         counter = _counter(entries, byte_fallback)
-        for pdf in batches:
+        for pdf in parts(batches):
             found = np.array([counter.text(t) for t in pdf["text"]], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"id": pdf["id"], "n": found[:, 0], "u": found[:, 1]})
 

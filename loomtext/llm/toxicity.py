@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from loomtext.llm.batches import map_texts, parts
 from loomtext.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -98,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(sample / known * (1 << 30)))
 
     def split(batches):
-        for pdf in batches:
+        for pdf in parts(batches):
             found = [terms(t) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [list(c) for c in found], "tf": [list(c.values()) for c in found]})
 
@@ -125,16 +126,11 @@ def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_co
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches):
+    def make(texts):
         own = held.value
-        for pdf in batches:
-            found = [own.nearest(terms(t), k) for t in pdf["text"]]
-            yield pd.DataFrame({
-                "id": pdf["id"], "score": [own.score(f) for f in found],
-                "evidence": [[{"id": i, "cosine": c, "label": int(y)} for i, c, y in f] for f in found],
-            })
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    done = rows.mapInPandas(run, f"id {kind}, score double, evidence array<struct<id:long,cosine:double,label:int>>")
-    return done.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+        found = [own.nearest(terms(t), k) for t in texts]
+        return [own.score(f) for f in found], [[{"id": i, "cosine": c, "label": int(y)} for i, c, y in f] for f in found]
+
+    fields = {"score": "double", "evidence": "array<struct<id:long,cosine:double,label:int>>"}
+    done = map_texts(docs, {id_col: F.col(id_col)}, F.col(text_col).cast("string"), fields, make)
+    return done.select(id_col, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
