@@ -102,3 +102,23 @@ def result_state(examined: Column, denominator: Column, eligible_words: Column,
 
 def score_kind(examined: Column, denominator: Column, limited: Column) -> Column:
     return F.when((examined == 0) | (denominator == 0), "unavailable").when(limited, "lower_bound").otherwise("observed")
+
+
+def quote_portions(pairs: DataFrame, *by: str, least: int = 9) -> DataFrame:
+    """(by..., portion, n, quoted, reason): an alignment's (pos, region, quoted) pairs cut where the quotation region changes."""
+    order = Window.partitionBy(*by).orderBy("pos")
+    cut = F.coalesce((F.lag("region").over(order) != F.col("region")).cast("int"), F.lit(0))
+    p = pairs.withColumn("__c", cut).withColumn("portion", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    p = p.groupBy(*by, "portion").agg(F.count(F.lit(1)).alias("n"), F.max("quoted").alias("quoted"))
+    return p.withColumn("reason", F.when(F.col("quoted"), "recognized-quotation").when(F.col("n") < least, "below-nine-matched-words").otherwise(""))
+
+
+def attribution(citations: DataFrame, references: DataFrame, sources: DataFrame) -> DataFrame:
+    """(doc_id, s, attribution): whether a document's bracketed numbers lead to a reference with the source's DOI.
+
+    citations: (doc_id, s, number) near the match, number null where a citation has none or none was seen (cited says
+    which); references: (doc_id, ref_no, doi); sources: (s, doi).
+    """
+    c = citations.join(sources, "s").join(references.select("doc_id", F.col("ref_no").alias("number"), F.col("doi").alias("rdoi")), ["doc_id", "number"], "left")
+    sure = F.lower("rdoi") == F.lower("doi")
+    return c.groupBy("doc_id", "s").agg(F.when(F.max(sure), "matching-source-confirmed").when(F.max("cited"), "nearby-unverified").otherwise("not-detected").alias("attribution"))

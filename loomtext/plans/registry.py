@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomtext.plans import catalog_queries, overlap_queries, stream_queries, structure_queries
+from loomtext.plans import catalog_queries, evidence_queries, overlap_queries, stream_queries, structure_queries
 
-_ALL = {**overlap_queries.QUERIES, **structure_queries.QUERIES, **catalog_queries.QUERIES, **stream_queries.QUERIES}
+_ALL = {**overlap_queries.QUERIES, **structure_queries.QUERIES, **evidence_queries.QUERIES, **catalog_queries.QUERIES, **stream_queries.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
