@@ -145,7 +145,7 @@ QUERIES = {
 SELECT doc_id, front, bibliography, quoted, min(pos) AS lo, max(pos) + 1 AS hi FROM g GROUP BY doc_id, front, bibliography, quoted, g"""),
     "word_accounting": (word_accounting, f"""WITH {MASKED} SELECT doc_id, count(*) AS total_words, count(*) FILTER (WHERE NOT front) AS scoped_words, count(*) FILTER (WHERE NOT (front OR bibliography OR quoted)) AS eligible_words,
  count(*) FILTER (WHERE front) AS front_matter_words, count(*) FILTER (WHERE NOT front AND bibliography) AS excluded_bibliography_words, count(*) FILTER (WHERE NOT front AND NOT bibliography AND quoted) AS excluded_quotation_words,
- 0 AS other_excluded_words, 0 AS violations FROM m GROUP BY doc_id"""),
+ 0::BIGINT AS other_excluded_words, 0::BIGINT AS violations FROM m GROUP BY doc_id"""),
     "boundary_regions": (boundary_regions, f"""WITH {MASKED}, c AS (SELECT doc_id, bibliography, quoted, lag(bibliography) OVER o AS pb, lag(quoted) OVER o AS pq FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, 1 + count(*) FILTER (WHERE pb <> bibliography OR pq <> quoted) AS regions FROM c GROUP BY doc_id"""),
     "logical_view": (logical_view, f"WITH {MASKED} SELECT doc_id, count(*) - 1 AS last_logical, min(pos) AS first_pos, max(pos) AS last_pos FROM m WHERE NOT front GROUP BY doc_id"),
