@@ -169,4 +169,6 @@ SELECT doc_id, substring(text, greatest(p - 20, 0) + 1, 43) AS excerpt, p - grea
     "csv_neutralize": (csv_neutralize, "SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN '' ELSE '''' END || ['=', '+', 'x', '-', '@'][doc_id % 5 + 1] || source AS cell FROM documents"),
     "quotation_spans": (lambda s, d: align.spans_of(_built(s, d), "quotation"), None),
     "citation_spans": (lambda s, d: align.spans_of(_built(s, d), "citation"), None),
+    "full_citation_spans": (lambda s, d: align.spans_of(_built(s, d), "full-citation"), None),
+    "author_year_units": (lambda s, d: align.spans_of(_built(s, d), "unit"), None),
 }
