@@ -102,10 +102,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             for lang, at in part.groupby("lang").indices.items():
                 held[lang] = held.get(lang, 0) + v[at].sum(axis=0)
-        yield pd.DataFrame({"lang": list(held), "v": list(held.values())})
+        if held:
+            yield pd.DataFrame({"lang": list(held), "v": list(held.values())})
 
-    parts = marked.select("text", "lang").mapInPandas(sums, "lang string, v array<double>")
-    added = parts.select("lang", F.posexplode("v").alias("p", "x")).groupBy("lang", "p").agg(F.sum("x").alias("x"))
+    summed = marked.select("text", "lang").mapInPandas(sums, "lang string, v array<double>")
+    added = summed.select("lang", F.posexplode("v").alias("p", "x")).groupBy("lang", "p").agg(F.sum("x").alias("x"))
     found: dict[str, list[float]] = {}
     for row in added.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("v")).collect():
         v = np.array([x["x"] for x in row["v"]])
