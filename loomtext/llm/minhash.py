@@ -1,7 +1,7 @@
 """MinHash near-dedup with b-bit signatures.
 
 Word shingles are hashed to 64 bits; 192 minima per document give 38 band keys of five rows (candidates) and a packed
-signature of the minima's low four bits (12 longs). Candidates whose collision-corrected estimate could still reach the
+signature of the minima's low four bits (12 longs; documents of the last round get 64 more). Candidates whose collision-corrected estimate could still reach the
 threshold are confirmed on the full shingle sets. Links are sought in three rounds (smallest partner, bucket leaders,
 then every remaining pair of a bucket whose ends lie in different components), so groups of copies never expand into
 all their pairs.
@@ -10,15 +10,16 @@ all their pairs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomtext.llm.batches import map_texts
 from loomtext.operators.components import connected_components
 from loomtext.session import materialize, small_side
 
 PERMUTATIONS, ROWS, BITS = 192, 5, 4
 BANDS = PERMUTATIONS // ROWS
 LANES = PERMUTATIONS * BITS // 64
+FINE = 1024
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +28,8 @@ _BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FLIP = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)[:, None]
 _MULT = (_RNG.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_FINE_FLIP = _RNG.integers(0, 2**32, FINE, dtype=np.uint32)[:, None]
+_FINE_MULT = (_RNG.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _BAND = _RNG.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -64,15 +67,24 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mix(total + np.uint64(min(width, len(words)))))
 
 
-def signature(sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and packed low bits of the minima of a non-empty shingle set."""
+def _minima(sh: np.ndarray, flip: np.ndarray, mult: np.ndarray) -> np.ndarray:
     x = (sh >> np.uint64(32)).astype(np.uint32)
-    least = np.full(PERMUTATIONS, 2**32 - 1, np.uint32)
+    least = np.full(len(flip), 2**32 - 1, np.uint32)
     for k in range(0, len(x), 2048):
-        np.minimum(least, ((x[None, k : k + 2048] ^ _FLIP) * _MULT).min(axis=1), out=least)
+        np.minimum(least, ((x[None, k : k + 2048] ^ flip) * mult).min(axis=1), out=least)
+    return least
+
+
+def _packed(least: np.ndarray) -> np.ndarray:
+    low = (least & np.uint32(15)).astype(np.uint64).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(BITS))
+    return np.bitwise_or.reduce(low, axis=1).view(np.int64)
+
+
+def signature(sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and packed low bits of the minima of a non-empty shingle set."""
+    least = _minima(sh, _FLIP, _MULT)
     bands = _mix((least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    low = (least & np.uint32(15)).astype(np.uint64).reshape(LANES, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(BITS))
-    return bands.view(np.int64), np.bitwise_or.reduce(low, axis=1).view(np.int64)
+    return bands.view(np.int64), _packed(least)
 
 
 def _fingerprint(sh: np.ndarray) -> tuple[int, int]:
@@ -81,43 +93,66 @@ def _fingerprint(sh: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def _profiles(width: int):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                sh = shingles(text, width)
-                if len(sh):
-                    bands, sig = signature(sh)
-                    out.append((len(sh), *_fingerprint(sh), bands, sig))
-                else:
-                    out.append((0, 0, 0, None, None))
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pd.DataFrame({"id": pdf["id"], "n": cols[0], "f1": cols[1], "f2": cols[2], "bands": cols[3], "sig": cols[4]})
+def _profiles(rows: DataFrame, width: int) -> DataFrame:
+    def make(texts):
+        out = []
+        for text in texts:
+            sh = shingles(text, width)
+            if len(sh):
+                bands, sig = signature(sh)
+                out.append((len(sh), *_fingerprint(sh), bands, sig))
+            else:
+                out.append((0, 0, 0, None, None))
+        return list(zip(*out))
+
+    fields = {"n": "long", "f1": "long", "f2": "long", "bands": "array<long>", "sig": "array<long>"}
+    return map_texts(rows, {"id": F.col("id")}, F.col("text"), fields, make)
+
+
+def _sets(rows: DataFrame, width: int) -> DataFrame:
+    def make(texts):
+        sets = [shingles(t, width) for t in texts]
+        marks = [_fingerprint(sh) for sh in sets]
+        return [m[0] for m in marks], [m[1] for m in marks], [sh.view(np.int64) for sh in sets]
 
-    return run
+    return map_texts(rows, {"rep": F.col("id")}, F.col("text"), {"f1": "long", "f2": "long", "sh": "array<long>"}, make)
 
 
-def _sets(width: int):
-    def run(batches):
-        for pdf in batches:
-            sets = [shingles(t, width) for t in pdf["text"]]
-            marks = [_fingerprint(sh) for sh in sets]
-            yield pd.DataFrame({"rep": pdf["rep"], "f1": [m[0] for m in marks], "f2": [m[1] for m in marks], "sh": [sh.view(np.int64) for sh in sets]})
+def _fine(rows: DataFrame) -> DataFrame:
+    def make(sets):
+        return ([_packed(_minima(np.array(sh, np.int64).view(np.uint64), _FINE_FLIP, _FINE_MULT)) for sh in sets],)
 
-    return run
+    return map_texts(rows, {"rep": F.col("rep")}, F.col("sh"), {"fine": "array<long>"}, make)
+
+
+def _differing(v: Column) -> Column:
+    """How many of the sixteen four-bit fields of a long are not zero."""
+    v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+    return F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _corrected(differ: Column, n: int) -> Column:
+    """Jaccard estimate from n minima of which `differ` differ in their low bits, corrected for chance equality."""
+    chance = 1 / 2**BITS
+    return ((1 - differ / n) - chance) / (1 - chance)
 
 
 def matching_estimate(x: str, y: str) -> Column:
-    """Jaccard estimate from two packed signatures, corrected for chance equality of the low bits."""
-    differ = None
+    differ = F.lit(0)
     for k in range(LANES):
-        v = F.col(x)[k].bitwiseXOR(F.col(y)[k])
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = F.bit_count(v) if differ is None else differ + F.bit_count(v)
-    chance = 1 / 2**BITS
-    return ((1 - differ / PERMUTATIONS) - chance) / (1 - chance)
+        differ = differ + _differing(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
+    return _corrected(differ, PERMUTATIONS)
+
+
+def fine_estimate(x: str, y: str) -> Column:
+    each = F.zip_with(x, y, lambda a, b: _differing(a.bitwiseXOR(b)))
+    return _corrected(F.aggregate(each, F.lit(0), lambda s, v: s + v), FINE)
+
+
+def _floor(percent: int, slack: float, n: int) -> float:
+    """The least estimate that a pair at the threshold gives, but for `slack` standard deviations."""
+    p, chance = percent / 100, 1 / 2**BITS
+    return p - chance * (1 - p) / (1 - chance) - slack * ((p * (1 - p) / n) ** 0.5) / (1 - chance)
 
 
 def near_components(
@@ -134,24 +169,22 @@ def near_components(
     part in no link but its own set's class and is kept only if no document shares its component; an empty table gives
     no rows; other columns of the input are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prof = materialize(
-        base.mapInPandas(_profiles(width), "id long, n long, f1 long, f2 long, bands array<long>, sig array<long>"), "profiles"
+        _profiles(base, width), "profiles"
     )
     key = ["n", "f1", "f2"]
     reps = materialize(
         prof.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
         "reps",
     )
-    banded = reps.select("rep", F.explode("bands").alias("band"))
+    banded = reps.select("rep", F.posexplode("bands").alias("k", "band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").select("band", "lead")
     buckets = materialize(banded.join(shared, "band"), "buckets")
 
-    sigs = reps.select("rep", "sig").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    sigs = reps.select("rep", "sig", "bands").join(buckets.select("rep").distinct(), "rep", "left_semi")
     sigs = materialize(sigs, "sigs")
-    bits = 1 / 2**BITS
-    p = percent / 100
-    floor = p - bits * (1 - p) / (1 - bits) - slack * ((p * (1 - p) / PERMUTATIONS) ** 0.5) / (1 - bits)
+    floor, fine_floor = (_floor(percent, slack, n) for n in (PERMUTATIONS, FINE))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) whose estimate may reach the threshold."""
@@ -165,7 +198,7 @@ def near_components(
     rows = sigs.count()
     found = base.join(small_side(wanted, rows), "id", "left_semi") if rows else base.where("false")
     sets = materialize(
-        found.select(F.col("id").alias("rep"), "text").mapInPandas(_sets(width), "rep long, f1 long, f2 long, sh array<long>").dropDuplicates(["rep", "f1", "f2"]).select("rep", "sh")
+        _sets(found, width).dropDuplicates(["rep", "f1", "f2"]).select("rep", "sh")
         if rows
         else found.select(F.col("id").alias("rep"), F.array(F.lit(0).cast("long")).alias("sh")),
         "sets",
@@ -195,12 +228,26 @@ def near_components(
         links = links.unionByName(more)
         lab = labels(links)
     # Every remaining pair of a bucket: only buckets that still hold several components, only pairs across them.
-    tagged = labelled(buckets.select("band", "rep"), lab, "rep", "c")
+    tagged = labelled(buckets.select("band", "k", "rep"), lab, "rep", "c")
     mixed = tagged.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
     open_ = materialize(tagged.join(mixed, "band", "left_semi").join(sigs, "rep"), "open")
-    x = open_.select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa"))
-    y = open_.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("sig").alias("sb"))
-    rest = x.join(y, (x.band == y.band) & (x.a < y.b) & (x.ca != y.cb) & (matching_estimate("sa", "sb") >= floor)).select("a", "b").distinct()
+    # Shingles of one open document alone (u of n) are in no intersection here: at most n - u can be shared, which
+    # bounds the similarity of a pair from above and rules out most pairs of copies that were edited apart.
+    own = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
+    lone = own.select("rep", F.explode("sh").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    lone = lone.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+    can = own.select("rep", F.size("sh").alias("n")).join(lone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
+    can = can.where(100 * F.col("most") >= percent * F.col("n"))
+    fine = _fine(own.join(can.select("rep"), "rep", "left_semi"))
+    open_ = materialize(open_.join(materialize(can.join(fine, "rep"), "fine"), "rep"), "bounded")
+    side = lambda n: open_.select("band", F.col("rep").alias(n), *[F.col(k).alias(k + n) for k in ("c", "sig", "n", "most", "bands", "fine")], F.col("k").alias(f"k{n}"))
+    x, y = side("a"), side("b")
+    shared_most = F.least("mosta", "mostb")
+    within = 100 * shared_most >= percent * (F.col("na") + F.col("nb") - shared_most)
+    # A pair counts in the first band that it shares; the finer signature then leaves little but pairs at the threshold.
+    earlier = F.arrays_overlap(F.slice("bandsa", F.lit(1), F.col("ka")), F.slice("bandsb", F.lit(1), F.col("kb")))
+    likely_rest = (matching_estimate("siga", "sigb") >= floor) & ~earlier & (fine_estimate("finea", "fineb") >= fine_floor)
+    rest = x.join(y, (x.band == y.band) & (x.a < y.b) & (x.ca != y.cb) & within & likely_rest).select("a", "b").distinct()
     last = materialize(confirmed(rest.join(leads, ["a", "b"], "left_anti")), "links3")
     if last.limit(1).count():
         lab = labels(links.unionByName(last))
