@@ -14,13 +14,15 @@ from loomtext.llm import byte_bpe, decontam, lang_id, line_dedup, minhash
 from loomtext.session import materialize, small_side, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-MIN_SCORE = 0.2
+#: Texts of MIN_CHARS or more whose best cosine is under MIN_SCORE are like no learned language; shorter ones say too little.
+MIN_SCORE, MIN_CHARS = 0.2, 200
 
 
 def identify(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose best cosine with any language is under MIN_SCORE."""
+    """Drops documents without a letter, and longer ones that are like no language of the corpus."""
     found = lang_id.predict(docs, lang_id.train(docs), keep=[F.col(c) for c in COLUMNS[1:]])
-    return found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    unlike = (F.col("score") < MIN_SCORE) & (F.length("text") >= MIN_CHARS)
+    return found.where((F.col("lang_pred") != lang_id.UNKNOWN) & ~unlike).select(*COLUMNS)
 
 
 def dedup_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +48,7 @@ def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digest of the bytes that they decode to."""
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coded = byte_bpe.encode_column(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN)
-    coded = byte_bpe.decode_column(coded, ranks, public_tokenizers.PATTERN)
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", "lang", "source", "ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [("language_id", identify), ("line_dedup", dedup_lines), ("minhash_dedup", dedup_near), ("decontamination", decontaminate), ("byte_bpe", encode)]

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from loomtext.llm.batches import map_texts
+
 PIECE = 1 << 16
 
 
@@ -58,14 +60,19 @@ def decode(ids, ranks: bytes, pattern: str) -> bytes:
     return _encoder(ranks, pattern).decode_bytes([int(i) for i in ids])
 
 
-def encode_column(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with a column `out` of token ids (array<int>); a null text has none. An input column `out` is replaced."""
+def encode_column(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs with `ids` (array<int>, none for a null text), `n_tokens` and `decoded_sha256` (of the bytes that the ids decode to).
+
+    Input columns of these names are replaced.
+    """
+    fields = {"ids": "array<int>", "n_tokens": "long", "decoded_sha256": "string"}
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([encode(t, ranks, pattern).astype(np.int32) for t in texts])
+    def make(texts):
+        ids = [encode(t, ranks, pattern) for t in texts]
+        return [i.astype(np.int32) for i in ids], [len(i) for i in ids], [hashlib.sha256(decode(i.tolist(), ranks, pattern)).hexdigest() for i in ids]
 
-    return docs.withColumn(out, ids(F.col(text_col).cast("string")))
+    keep = {c: F.col(c) for c in docs.columns if c not in fields}
+    return map_texts(docs, keep, F.col(text_col).cast("string"), fields, make)
 
 
 def decode_column(df: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -86,14 +93,10 @@ def token_digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "do
     an empty table gives none; other input columns are ignored.
     """
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                ids = encode(text, ranks, pattern)
-                out.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode(ids.tolist(), ranks, pattern)).hexdigest()))
-            yield pd.DataFrame({"id": pdf["id"]}).join(pd.DataFrame(out, columns=["n", "i", "d"], index=pdf.index))
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    done = rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, i string, d string")
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("i").alias("ids_sha256"), F.col("d").alias("decoded_sha256"))
+    def make(texts):
+        ids = [encode(t, ranks, pattern) for t in texts]
+        back = [hashlib.sha256(decode(i.tolist(), ranks, pattern)).hexdigest() for i in ids]
+        return [len(i) for i in ids], [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], back
+
+    fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return map_texts(docs, {id_col: F.col(id_col)}, F.col(text_col).cast("string"), fields, make)
