@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROWS, CHARS = 256, 1 << 20
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, idle, after their task, beside the next stage's."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most 1,000 rows an Arrow batch, unless the session has a limit of its own: texts make wide rows, and the
+    buffers of 10,000 of them, twice over in the JVM and once in each worker, stay allocated."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def parts(batches: Iterator[pd.DataFrame], rows: int = ROWS, chars: int = CHARS, text: str = "text") -> Iterator[pd.DataFrame]:
     """The frames in slices of at most `rows` rows and about `chars` characters of the text column (or one longer text)."""
     for pdf in batches:
@@ -23,6 +43,7 @@ def parts(batches: Iterator[pd.DataFrame], rows: int = ROWS, chars: int = CHARS,
             held += n
         if start < len(pdf):
             yield pdf.iloc[start:]
+    trim()
 
 
 _TYPES = {
@@ -37,6 +58,7 @@ def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, fields: dict
     Texts go to `make` in parts of at most `rows` values and about `size` bytes; what is kept passes through Arrow
     untouched, whatever its type and nulls.
     """
+    small_batches(df.sparkSession)
     plain = df.select(*[c.alias(f"c{k}") for k, c in enumerate(keep.values())], text.alias("text"))
     types = [_TYPES[t] for t in fields.values()]
 
@@ -53,6 +75,7 @@ def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, fields: dict
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(v, t) for v, t in zip(new, types, strict=True)]], names=[*part.schema.names[:-1], *fields])
                     start, held = k, 0
                 held += n or 0
+        trim()
 
     old = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(plain.schema.fields[:-1]))
     done = plain.mapInArrow(run, ", ".join([old] * bool(old) + [f"{n} {t}" for n, t in fields.items()]))

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomtext.llm.batches import map_texts, parts
+from loomtext.llm.batches import map_texts, parts, small_batches
 
 DIM = 1024
 TRAIN_ROWS = 40_000
@@ -91,6 +91,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     comes back is one vector a language.
     """
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and id is not null")
+    small_batches(docs.sparkSession)
     total = marked.count()
     if total > rows:
         marked = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rows / total * (1 << 30)))

@@ -12,11 +12,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from loomtext.llm.batches import parts
+from loomtext.llm.batches import map_texts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -111,12 +109,9 @@ def count_tokens(docs: DataFrame, vocab: list[tuple[str, float]], byte_fallback:
     """
     entries = tuple(vocab)
 
-    def run(batches):
+    def make(texts):
         counter = _counter(entries, byte_fallback)
-        for pdf in parts(batches):
-            found = np.array([counter.text(t) for t in pdf["text"]], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"id": pdf["id"], "n": found[:, 0], "u": found[:, 1]})
+        found = [counter.text(t) for t in texts]
+        return [n for n, _ in found], [u for _, u in found]
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    done = rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, u long")
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("u").alias("n_unknown"))
+    return map_texts(docs, {id_col: F.col(id_col)}, F.col(text_col).cast("string"), {"n_tokens": "long", "n_unknown": "long"}, make)
