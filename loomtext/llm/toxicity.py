@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 A text's terms are the beginnings of its words, of five and of seven letters (a shorter word stands whole). Terms that
-the labelled rows show to be more common in toxic texts, by a z statistic, make the vocabulary; examples and texts are
+the labelled rows show to be much more common in toxic texts, by a z statistic and a lift, make the vocabulary; examples and texts are
 TF-IDF vectors of unit length over it. Examples lie in an inverted index of blocks with the greatest weight of each term
 in each block: a text reads blocks in the order of their bounds and stops when no block can hold a nearer example than
 the k found, so the neighbours are exact. Their votes, weighted by cosine, with the base rate as one vote, give the score.
@@ -25,6 +25,8 @@ SAMPLE_ROWS = 20_000
 MAX_TERMS = 4096
 MIN_Z = 6.0
 MIN_SHARE = 0.02
+MIN_LIFT = 3.0
+KEPT_WORDS = 500_000
 NEIGHBOURS = 16
 BLOCK = 64
 
@@ -32,12 +34,15 @@ BLOCK = 64
 def terms(text: str | None) -> Counter:
     found: Counter = Counter()
     for word, n in Counter(WORD.findall((text or "").lower())).items():
-        found[word[:5]] += n
-        if len(word) > 5:
-            found["~" + word[:7]] += n
+        for term in terms_of(word):
+            found[term] += n
     return found
 
 
+def terms_of(word: str) -> tuple[str, ...]:
+    return (word[:5], "~" + word[:7]) if len(word) > 5 else (word,)
+
+
 class BlockMaxIndex:
     """Unit TF-IDF vectors of labelled examples in blocks, with each term's greatest weight a block."""
 
@@ -46,6 +51,7 @@ class BlockMaxIndex:
         self.place = {t: k for k, t in enumerate(sorted(idf))}
         self.idf = np.array([idf[t] for t in sorted(idf)], np.float64)
         self.base = base
+        self.met: dict[str, tuple[str, ...]] = {}
         vectors = [(i, y, *self.vector(c)) for i, y, c in examples]
         vectors = [v for v in vectors if len(v[2])]
         # Neighbours in a block share their heaviest term, which keeps the other blocks' bounds low.
@@ -58,6 +64,20 @@ class BlockMaxIndex:
             self.weights[k // BLOCK, at, k % BLOCK] = x
         self.most = self.weights.max(axis=2).T.copy() if blocks else np.zeros((len(self.place), 0), np.float32)
 
+    def counts(self, text: str | None) -> dict[str, int]:
+        """Counts of the vocabulary's terms in a text; which terms a word has is remembered."""
+        found: dict[str, int] = {}
+        met = self.met
+        for word, n in Counter(WORD.findall((text or "").lower())).items():
+            own = met.get(word)
+            if own is None:
+                if len(met) >= KEPT_WORDS:
+                    met.clear()
+                own = met[word] = tuple(t for t in terms_of(word) if t in self.place)
+            for term in own:
+                found[term] = found.get(term, 0) + n
+        return found
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         known = sorted((self.place[t], n) for t, n in counts.items() if t in self.place)
         at = np.array([k for k, _ in known], np.int64)
@@ -76,7 +96,9 @@ class BlockMaxIndex:
             if bound[b] <= 0 or (len(best) == k and bound[b] * (1 + 1e-5) < -best[-1][0]):
                 break
             scores = x @ self.weights[b][at]
-            best = sorted(best + [(-float(s), int(b) * BLOCK + j) for j, s in enumerate(scores) if s > 0])[:k]
+            near = np.flatnonzero(scores >= -best[-1][0] if len(best) == k else scores > 0)
+            if len(near):
+                best = sorted(best + [(-float(scores[j]), int(b) * BLOCK + int(j)) for j in near])[:k]
         return [(int(self.ids[j]), -s, float(self.labels[j])) for s, j in best]
 
     def score(self, neighbours: list[tuple[int, float, float]]) -> float:
@@ -110,11 +132,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = ones / n
     seen = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("pos"))
     z = (F.col("pos") - F.col("df") * share) / F.sqrt(F.col("df") * share * (1 - share) * (1 - F.col("df") / n) + 1e-9)
-    vocab = seen.withColumn("z", z).where((F.col("z") >= MIN_Z) & (F.col("df") >= max(3, MIN_SHARE * ones))).orderBy(F.desc("z"), "t").limit(MAX_TERMS).collect()
-    idf = {r["t"]: math.log((n + 1) / r["df"]) for r in vocab}
-    pairs = F.filter(F.arrays_zip("terms", "tf"), lambda p: F.array_contains(F.lit(list(idf) or [""]), p["terms"]))
-    kept = rows.select("id", "y", pairs.alias("p")).where(F.size("p") > 0).orderBy("id").collect() if idf else []
-    return BlockMaxIndex(idf, [(r["id"], r["y"], {p["terms"]: p["tf"] for p in r["p"]}) for r in kept], share)
+    lift = F.col("pos") / F.col("df") >= min(MIN_LIFT * share, (1 + share) / 2)
+    vocab = seen.withColumn("z", z).where((F.col("z") >= MIN_Z) & (F.col("df") >= max(3, MIN_SHARE * ones)) & lift)
+    idf = {r["t"]: math.log((n + 1) / r["df"]) for r in vocab.orderBy(F.desc("z"), "t").limit(MAX_TERMS).collect()}
+
+    def known_terms(batches):
+        for pdf in batches:
+            pairs = [[(t, int(k)) for t, k in zip(ts, ks, strict=True) if t in idf] for ts, ks in zip(pdf["terms"], pdf["tf"], strict=True)]
+            out = pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [[t for t, _ in p] for p in pairs], "tf": [[k for _, k in p] for p in pairs]})
+            yield out[[bool(p) for p in pairs]]
+
+    kept = rows.mapInPandas(known_terms, "id long, y int, terms array<string>, tf array<int>").collect() if idf else []
+    return BlockMaxIndex(idf, [(r["id"], r["y"], dict(zip(r["terms"], r["tf"], strict=True))) for r in sorted(kept, key=lambda r: r["id"])], share)
 
 
 def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
@@ -128,7 +157,7 @@ def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_co
 
     def make(texts):
         own = held.value
-        found = [own.nearest(terms(t), k) for t in texts]
+        found = [own.nearest(own.counts(t), k) for t in texts]
         return [own.score(f) for f in found], [[{"id": i, "cosine": c, "label": int(y)} for i, c, y in f] for f in found]
 
     fields = {"score": "double", "evidence": "array<struct<id:long,cosine:double,label:int>>"}
