@@ -121,6 +121,6 @@ def write_html(report: Report, path: str) -> None:
     """Write one small HTML page a manuscript (a row of text each), made by Spark."""
     esc = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     row = F.concat(F.lit("<tr><td>"), esc("s"), F.lit("</td><td>"), esc("kind"), F.lit("</td><td>"), esc("mlo"), F.lit("-"), esc("mhi"), F.lit("</td></tr>"))
-    tables = report.matches.groupBy("m").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
+    tables = report.matches.where("kind <> 'none'").groupBy("m").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
     page = F.concat(F.lit("<html><body><h1>Manuscript "), F.col("m").cast("string"), F.lit("</h1><p>"), F.col("text"), F.lit("</p><table>"), F.coalesce("rows", F.lit("")), F.lit("</table></body></html>"))
     summary(report).join(tables, "m", "left").select(page.alias("value")).write.mode("overwrite").text(path)
