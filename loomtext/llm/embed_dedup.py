@@ -2,9 +2,9 @@
 
 Equal vectors are one class from the start. Each class vector lives in the cell of its nearest centre and is a guest in
 every cell whose border it is near: a pair that a border parts lies, on one side at least, within half the distance
-that the threshold allows, and far nearer if the pair points anywhere but straight at the border. `reach` says how many
-standard deviations of that distance, for a random direction, a guest's range covers (reach * sqrt(dim) covers all:
-with reach >= sqrt(dim) the search is exact). Cells are split into blocks, and blocks meet in pairs, so no task holds
+that the threshold allows. Guests within all of it are taken, which makes the search exact. A `reach` below sqrt(dim)
+takes those within that many standard deviations of the distance for a random direction, and loses pairs of vectors that
+vary in few directions. Cells are split into blocks, and blocks meet in pairs, so no task holds
 more than two blocks, whatever the size of a cell.
 """
 
@@ -22,7 +22,6 @@ from loomtext.session import materialize
 SAMPLE_ROWS = 20_000
 PER_CELL = 2000
 BLOCK = 2000
-REACH = 5.0
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -46,7 +45,7 @@ def _unit(vectors) -> np.ndarray:
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, per_cell: int = PER_CELL,
-    block: int = BLOCK, reach: float = REACH, sample: int = SAMPLE_ROWS,
+    block: int = BLOCK, reach: float | None = None, sample: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """Vectors linked by cosine >= threshold, in double precision.
 
@@ -83,7 +82,7 @@ def near_vectors(
                 home = dots.argmax(axis=1)
                 between = np.sqrt(np.maximum(2 - 2 * (m @ m.T), 1e-18))
                 off = (dots[np.arange(len(x)), home][:, None] - dots) / between[home]
-                near = off <= gap * min(1.0, reach / math.sqrt(dim)) + 1e-12
+                near = off <= gap * (1.0 if reach is None else min(1.0, reach / math.sqrt(dim))) + 1e-12
                 near[np.arange(len(x)), home] = False
                 for k in range(len(x)):
                     out.append((part["rep"].iloc[k], part["c"].iloc[k], dim, int(home[k]), np.flatnonzero(near[k]).astype(np.int32), x[k]))

@@ -178,3 +178,15 @@ def test_embeddings_against_brute_force(spark):
             else:
                 assert r["n_links"] == 0 and r["component_id"] == i
     assert embed_dedup.near_vectors(df.where("false")).count() == 0
+
+
+def test_embeddings_in_few_directions_over_many_cells(spark):
+    """At 64 dimensions and over 40 cells, vectors that vary in two directions lose no link either."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 2)) @ rng.normal(size=(2, 64)) + rng.normal(size=64) * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(df, per_cell=30).collect()}
+    assert got == {i: int(n) for i, n in enumerate(near.sum(axis=1))}
