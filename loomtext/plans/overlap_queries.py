@@ -145,15 +145,24 @@ def matched_runs(spark, d):
     return L.runs(_words(spark, d).select("m", "pos"), "m")
 
 
-def word_states_intervals(spark, d):
-    """Per-word states of the manuscripts that match a source, as intervals."""
-    words = _words(spark, d).groupBy("m", "pos").agg(F.lit(True).alias("hit"))
-    t = L.ledger(_docs(spark, d)).withColumnRenamed("doc_id", "m").join(words.select("m").distinct(), "m", "left_semi").join(words, ["m", "pos"], "left")
+def _word_states(words, docs):
+    t = docs.join(words.groupBy("m", "pos").agg(F.lit(True).alias("hit")), ["m", "pos"], "left")
     no = F.lit(False)
     t = t.select("m", "pos", (F.col("pos") < 3).alias("front"), no.alias("bibliography"), no.alias("header"), no.alias("quoted"), F.coalesce("hit", no).alias("exact"), no.alias("similar"), (F.col("m") % 2 == 0).alias("all_checked"))
     return L.run_length(S.word_states(t), "state", by="m")
 
 
+def word_states_intervals(spark, d):
+    """Per-word states of the manuscripts that match a source, as intervals."""
+    words = _words(spark, d)
+    return _word_states(words, L.ledger(_docs(spark, d)).withColumnRenamed("doc_id", "m").join(words.select("m").distinct(), "m", "left_semi"))
+
+
+def word_states_all_intervals(spark, d):
+    """Per-word states of every manuscript, whether it matches a source or not, as intervals."""
+    return _word_states(_words(spark, d), L.ledger(_docs(spark, d)).withColumnRenamed("doc_id", "m"))
+
+
 def exact_similar_split(spark, d):
     """Exact words against words that only the ordered search finds, places of both counted once."""
     runs = _words(spark, d).select("m", "pos", F.lit(True).alias("exact"))
@@ -268,6 +277,11 @@ SELECT m, min(pos) AS lo, max(pos) + 1 AS hi FROM g GROUP BY m, g"""),
 t AS (SELECT dt.m, dt.i AS pos, CASE WHEN dt.i < 3 THEN 'front-matter' WHEN u.pos IS NOT NULL THEN 'exact' WHEN dt.m % 2 = 0 THEN 'unmatched' ELSE 'not-fully-checked' END AS state
   FROM dt LEFT JOIN u ON u.m = dt.m AND u.pos = dt.i WHERE dt.m IN (SELECT m FROM u)),
 g AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY pos) - row_number() OVER (PARTITION BY m, state ORDER BY pos) AS g FROM t)
+SELECT m, state, min(pos) AS lo, max(pos) + 1 AS hi FROM g GROUP BY m, state, g"""),
+    "word_states_all_intervals": (word_states_all_intervals, f"""WITH {RUNS}, u AS (SELECT DISTINCT m, pos FROM pos),
+t AS (SELECT dt.m, dt.i AS pos, CASE WHEN dt.i < 3 THEN 'front-matter' WHEN u.pos IS NOT NULL THEN 'exact' WHEN dt.m % 2 = 0 THEN 'unmatched' ELSE 'not-fully-checked' END AS state
+  FROM dt LEFT JOIN u ON u.m = dt.m AND u.pos = dt.i),
+g AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY pos) - row_number() OVER (PARTITION BY m, state ORDER BY pos) AS g FROM t)
 SELECT m, state, min(pos) AS lo, max(pos) + 1 AS hi FROM g GROUP BY m, state, g"""),
     "exact_similar_split": (exact_similar_split, f"""WITH {RUNS}, a AS ({gram_sql(3, 'd', 'm', 'i')}), c AS (SELECT DISTINCT g FROM ({gram_sql(3, 'b', 's', 'j')})),
 n AS (SELECT DISTINCT m, unnest([i, i + 1, i + 2]) AS pos FROM a JOIN c USING (g)), x AS (SELECT DISTINCT m, pos FROM pos)

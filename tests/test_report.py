@@ -117,3 +117,12 @@ def test_web(spark):
     urls = ["https://a.test/p?type=pdf&token=1&id=10.1234/x#f", "https://u:p@a.test/", "https://a.test/q?x=1"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(H.public_url(F.col("u"))).collect()]
     assert got == ["https://a.test/p?type=pdf&id=10.1234/x", "(invalid source URL)", "https://a.test/q"]
+
+
+def test_every_manuscript_has_word_states(spark):
+    from loomtext.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.QUERIES["word_states_all_intervals"](spark, sf).groupBy("m").agg(F.sum(F.col("hi") - F.col("lo")).alias("n"))
+    have = {r["doc_id"]: r["n"] for r in L.ledger(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert {r["m"]: r["n"] for r in got.collect()} == have
