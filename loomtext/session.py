@@ -7,10 +7,10 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: Rows up to which a narrow side (a few fixed-width columns) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Measured bytes up to which a side may be broadcast.
+BROADCAST_BYTES = 48 << 20
 
 
 _shipped: set[str] = set()
@@ -38,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir; only a local session may go without, in a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomtext-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,15 +50,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _step_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/loomtext-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomtext-{uuid.uuid4().hex}/{name}"
+    path = f"{_step_root(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows (counted here unless given), else df as it is."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= most else df
+def clear(spark: SparkSession) -> None:
+    """Delete what this application materialized; for use between jobs, when no result that reads it is still wanted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_step_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _size(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        own = F.octet_length(value).cast("long") + 8
+    elif isinstance(kind, T.StructType):
+        own = sum((_size(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.AtomicType) and not isinstance(kind.elementType, T.StringType | T.BinaryType):
+            own = F.size(value).cast("long") * 8 + 16
+        else:
+            own = F.aggregate(value, F.lit(16).cast("long"), lambda s, x: s + _size(x, kind.elementType).cast("long"))
+    else:
+        own = F.lit(8)
+    return F.coalesce(own.cast("long"), F.lit(8).cast("long"))
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows are measured here to take at most `most` bytes, else df as it is."""
+    row = sum((_size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    held = df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(df) if held <= most else df
