@@ -196,7 +196,7 @@ def near_components(
 
     wanted = sigs.select(F.col("rep").alias("id"))
     rows = sigs.count()
-    found = base.join(small_side(wanted, rows), "id", "left_semi") if rows else base.where("false")
+    found = base.join(small_side(wanted), "id", "left_semi") if rows else base.where("false")
     sets = materialize(
         _sets(found, width).dropDuplicates(["rep", "f1", "f2"]).select("rep", "sh")
         if rows

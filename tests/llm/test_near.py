@@ -80,12 +80,12 @@ def brute_lines(rows, least=5):
     for i, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
         for k, line in enumerate(t.split("\n")):
             w = tuple(x for x in re.split(r"[ \t\r\f\v]+", line.lower()) if x)
-            if len(w) >= least and w not in firsts:
+            if w and w not in firsts:
                 firsts[w] = (i, k)
                 seen.append(w)
 
     def near(a, b):
-        if abs(len(a) - len(b)) > 1:
+        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < least:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) <= 1
@@ -99,7 +99,7 @@ def brute_lines(rows, least=5):
             kept = []
             for k, line in enumerate(t.split("\n")):
                 w = tuple(x for x in re.split(r"[ \t\r\f\v]+", line.lower()) if x)
-                if len(w) < least or (w not in gone and firsts[w] == (i, k)):
+                if not w or (w not in gone and firsts[w] == (i, k)):
                     kept.append(line)
             out[i, t] = "\n".join(kept)
     return out
@@ -118,9 +118,11 @@ def test_line_dedup_against_brute_force(docs):
                 w = w[:at] + (["new"] if what < 2 else []) + w[at + (what != 1) :]
             lines.append("  ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
         rows.append((i, "\n".join(lines)))
+    rows += [(54, "short\n}\n\u00e9\n  }"), (55, "Short \n}\n\n \t\nshort line"), (56, "\u65e5\u672c\u8a9e\n\n"), (57, "\u65e5\u672c\u8a9e"), (58, "}\n" * 400 + "tail")]
     rows += [(50, None), (51, ""), (52, "\n\n"), rows[3], (None, pool[0] + " tail"), (53, " ".join(pool[1] for _ in range(300)))]
     want = brute_lines(rows)
-    got = line_dedup.dedup_lines(docs(rows)).collect()
+    clashing = docs(rows).selectExpr("*", "1 AS __id", "2 AS __th", "3 AS drops", "4 AS n_removed", "5 AS `a.b`")
+    got = line_dedup.dedup_lines(clashing).collect()
     assert len(got) == len(rows)
     left = sorted((str(r["doc_id"]), r["text"]) for r in got if r["text"] is not None)
     assert left == sorted((str(i), want[i, t]) for i, t in rows if t is not None)
