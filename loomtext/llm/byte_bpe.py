@@ -1,15 +1,20 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 The rank file is read once on the driver (a vocabulary: its size is fixed) and travels with the tasks; every worker
-process builds the encoder once. Long texts are cut where a match of the pattern must end in any case, before a space
-that follows a letter or digit, so a text of any length is encoded piece by piece with the ids of the whole.
+process builds the encoder once. The pre-splitting pattern is that of public_tokenizers.PATTERN: words, numbers and signs
+take one blank before them, and of a longer run of white space all but the last character is a match of its own. Long
+texts are cut where a match must end in any case: before a space that follows an ASCII letter or digit, and around long
+runs of white space, which the library's matcher cannot walk and which are encoded apart as the one match that they are.
+So a text of any length and kind has the ids of the whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from loomtext.llm.batches import map_texts
 
 PIECE = 1 << 16
+#: White space as the pattern's matcher knows it, in runs too long to be left to it.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 
 
 def load_ranks(path: str) -> bytes:
@@ -49,9 +56,23 @@ def pieces(text: str, size: int = PIECE):
     yield text[start:]
 
 
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in order as (part, whether it is white space that makes up one match)."""
+    start = 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))  # the last blank goes with what follows
+        yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    yield text[start:], False
+
+
 def encode(text: str | None, ranks: bytes, pattern: str) -> np.ndarray:
+    """The ids of a whole text; a null or empty text has none."""
     enc = _encoder(ranks, pattern)
-    parts = [enc.encode_ordinary(p) for p in pieces(text or "")]
+    parts = []
+    for stretch, lone in stretches(text or ""):
+        parts += [enc._encode_single_piece(stretch)] if lone else [enc.encode_ordinary(p) for p in pieces(stretch)]
     return np.array(parts[0] if len(parts) == 1 else [i for p in parts for i in p], "<u4")
 
 
@@ -61,9 +82,10 @@ def decode(ids, ranks: bytes, pattern: str) -> bytes:
 
 
 def encode_column(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with `ids` (array<int>, none for a null text), `n_tokens` and `decoded_sha256` (of the bytes that the ids decode to).
+    """docs with `ids` (array<int>), `n_tokens` and `decoded_sha256` (of the bytes that the ids decode to).
 
-    Input columns of these names are replaced.
+    A null or empty text has no ids; texts may be of any length and kind; repeated rows each get a row; an empty table
+    gives none. Input columns of the three names are replaced, all others stay.
     """
     fields = {"ids": "array<int>", "n_tokens": "long", "decoded_sha256": "string"}
 
@@ -89,8 +111,8 @@ def token_digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "do
     """Encodes each text, decodes the ids again and keeps digests.
 
     Returns one row per input row: id_col, n_tokens (long), ids_sha256 (of the ids as little-endian unsigned 32-bit
-    integers) and decoded_sha256 (of the decoded bytes). A null text is as the empty one; repeated rows each get a row;
-    an empty table gives none; other input columns are ignored.
+    integers) and decoded_sha256 (of the decoded bytes). A null text is as the empty one; texts may be of any length and
+    kind; repeated rows each get a row; an empty table gives none; other input columns are ignored.
     """
 
     def make(texts):

@@ -149,6 +149,26 @@ def test_byte_bpe_round_trip(docs):
     assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in both.collect())
 
 
+def test_byte_bpe_long_runs(docs):
+    """Runs that the library's matcher cannot walk: ids as those of shorter runs, and an exact round trip at two million."""
+    import base64
+
+    import tiktoken
+
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    rng = random.Random(3)
+    for run in (" " * 5000, "\n" * 5000, "\r\n" * 2500, "".join(rng.choice(" \t\n\u00a0\u3000\x1c\u2028\x85") for _ in range(20_000)), " " * 4095, " " * 4096, " " * 4097):
+        for text in (run, "a" + run, run + "b", "a" + run + "b c", "1" + run + "!" + run, run + "x" + run + "\x1cx"):
+            assert byte_bpe.encode(text, ranks, public_tokenizers.PATTERN).tolist() == plain.encode_ordinary(text)
+    n = 2_000_000
+    long = [" " * n, "\n" * n, " \t\n" * (n // 3), "word" + " " * n + "word", "\u65e5" * n, "x" * n, "^" * n, "a b" * (n // 3)]
+    got = {r["doc_id"]: r for r in byte_bpe.token_digests(docs(list(enumerate(long))), ranks, public_tokenizers.PATTERN).collect()}
+    for i, text in enumerate(long):
+        assert got[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and 0 < got[i]["n_tokens"] <= 3 * n
+
+
 def test_block_max_neighbours_are_exact():
     rng = random.Random(3)
     names = [f"t{k}" for k in range(40)]
