@@ -11,7 +11,7 @@ TABLES = "events documents pages benchmark conversations labels".split()
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
         return "NULL"
     if isinstance(v, float) or (hasattr(v, "dtype") and v.dtype.kind in "iuf"):
         return str(int(v)) if v == int(v) else repr(float(v))
