@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A text's terms are the beginnings of its words, of five and of seven letters (a shorter word stands whole). Terms that
-the labelled rows show to be much more common in toxic texts, by a z statistic and a lift, make the vocabulary; examples and texts are
-TF-IDF vectors of unit length over it. Examples lie in an inverted index of blocks with the greatest weight of each term
-in each block: a text reads blocks in the order of their bounds and stops when no block can hold a nearer example than
-the k found, so the neighbours are exact. Their votes, weighted by cosine, with the base rate as one vote, give the score.
+A text's terms are the beginnings of its words, of five and of seven letters (a shorter word stands whole). Every term
+that at least MIN_SHARE of the labelled examples hold counts, whatever their labels; examples and texts are vectors of
+term count times log((N + 1) / document frequency), of unit length in double precision. All examples lie in an inverted
+index: posting lists a term, cut at block borders, and the greatest weight of each term in each block. A text reads the
+blocks in the order of their bounds and stops when no further block can hold a nearer example than the k found, so the
+neighbours are exact. Their votes, weighted by squared cosine, with a little of the base rate, give a raw score; a
+monotone map fitted on the examples themselves, each scored by its neighbours without itself, makes it a share.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -21,14 +22,15 @@ from loomtext.llm.batches import map_texts, parts
 from loomtext.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
-SAMPLE_ROWS = 20_000
-MAX_TERMS = 4096
-MIN_Z = 6.0
-MIN_SHARE = 0.02
-MIN_LIFT = 3.0
+#: Labelled rows in the index, about; the vocabulary's terms, the rarest going first.
+SAMPLE_ROWS = 4096
+MAX_TERMS = 1 << 16
+#: Least share of the examples that hold a term (two examples at least).
+MIN_SHARE = 0.01
 KEPT_WORDS = 500_000
 NEIGHBOURS = 16
-BLOCK = 64
+BLOCK = 512
+PRIOR = 0.02
 
 
 def terms(text: str | None) -> Counter:
@@ -44,75 +46,122 @@ def terms_of(word: str) -> tuple[str, ...]:
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of labelled examples in blocks, with each term's greatest weight a block."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], base: float):
-        """examples: (id, label, counts of vocabulary terms); those without a term are left out."""
-        self.place = {t: k for k, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)], np.float64)
-        self.base = base
-        self.met: dict[str, tuple[str, ...]] = {}
+    """Unit TF-IDF vectors of labelled examples as posting lists in blocks, with each term's greatest weight a block."""
+
+    def __init__(self, df: dict[str, int], n: int, examples: list[tuple[int, int, dict[int, int]]], base: float, block: int = BLOCK):
+        """df: document frequencies of the vocabulary among n examples, which are (id, label, counts by place in sorted(df))."""
+        self.place = {t: k for k, t in enumerate(sorted(df))}
+        self.idf = np.log((n + 1) / np.array([df[t] for t in sorted(df)], np.float64))
+        self.block, self.base, self.map = block, base, (np.zeros(0), np.zeros(0))
+        self.met: dict[str, tuple[int, ...]] = {}
         vectors = [(i, y, *self.vector(c)) for i, y, c in examples]
-        vectors = [v for v in vectors if len(v[2])]
         # Neighbours in a block share their heaviest term, which keeps the other blocks' bounds low.
-        vectors.sort(key=lambda v: (int(v[2][v[3].argmax()]), v[0]))
+        vectors.sort(key=lambda v: (int(v[2][v[3].argmax()]) if len(v[2]) else -1, v[0]))
         self.ids = np.array([v[0] for v in vectors], np.int64)
         self.labels = np.array([v[1] for v in vectors], np.float64)
-        blocks = -(-len(vectors) // BLOCK)
-        self.weights = np.zeros((blocks, len(self.place), BLOCK), np.float32)
-        for k, (_, _, at, x) in enumerate(vectors):
-            self.weights[k // BLOCK, at, k % BLOCK] = x
-        self.most = self.weights.max(axis=2).T.copy() if blocks else np.zeros((len(self.place), 0), np.float32)
-
-    def counts(self, text: str | None) -> dict[str, int]:
-        """Counts of the vocabulary's terms in a text; which terms a word has is remembered."""
-        found: dict[str, int] = {}
-        met = self.met
+        owner = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
+        term = np.concatenate([v[2] for v in vectors] or [np.empty(0, np.int64)])
+        weight = np.concatenate([v[3] for v in vectors] or [np.empty(0)])
+        order = np.lexsort((owner, term))
+        self.blocks = -(-len(vectors) // block)
+        self.weight = weight[order]
+        # Where the postings of term t in block b start: borders[t * blocks + b]; they end where the next start.
+        lists = term[order] * self.blocks + owner[order] // block
+        self.owner = (owner[order] % block).astype(np.int64)  # within the block
+        self.borders = np.searchsorted(lists, np.arange(len(df) * self.blocks + 1)).astype(np.int64)
+        held, first = np.unique(lists, return_index=True)
+        self.most = np.zeros(len(df) * self.blocks)
+        if len(held):
+            self.most[held] = np.maximum.reduceat(self.weight, first)
+        self.most = self.most.reshape(len(df), self.blocks)
+
+    def __getstate__(self):
+        return self.__dict__ | {"met": {}}
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """Counts of the vocabulary's terms in a text by their places; which terms a word has is remembered."""
+        found: dict[int, int] = {}
+        met, place = self.met, self.place
         for word, n in Counter(WORD.findall((text or "").lower())).items():
             own = met.get(word)
             if own is None:
                 if len(met) >= KEPT_WORDS:
                     met.clear()
-                own = met[word] = tuple(t for t in terms_of(word) if t in self.place)
+                own = met[word] = tuple(place[t] for t in terms_of(word) if t in place)
             for term in own:
                 found[term] = found.get(term, 0) + n
         return found
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        known = sorted((self.place[t], n) for t, n in counts.items() if t in self.place)
-        at = np.array([k for k, _ in known], np.int64)
-        x = (1 + np.log(np.array([n for _, n in known], np.float64))) * self.idf[at] if known else np.zeros(0)
-        return at, x / (np.linalg.norm(x) or 1.0)
-
-    def nearest(self, counts: dict[str, int], k: int = NEIGHBOURS) -> list[tuple[int, float, float]]:
-        """(id, cosine, label) of the k nearest examples with a positive cosine; ties go to the earlier place in the index."""
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted places of the terms and their weights, of unit length; a term that all examples hold may weigh nothing."""
+        at = np.fromiter(counts.keys(), np.int64, len(counts))
+        x = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(at)
+        at, x = at[order], x[order]
+        x = x * self.idf[at]
+        norm = np.sqrt((x * x).sum())
+        return (at, x / norm) if norm > 0 else (at[:0], x[:0])
+
+    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> list[tuple[int, float, int]]:
+        """(id, cosine, label) of the k nearest examples with a positive cosine; of equal ones the smaller id is nearer."""
         at, x = self.vector(counts)
         if not len(at) or not len(self.ids):
             return []
-        x = x.astype(np.float32)
         bound = x @ self.most[at]
-        best: list[tuple[float, int]] = []
+        best_s, best_i, best_y = np.empty(0), np.empty(0, np.int64), np.empty(0)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] * (1 + 1e-5) < -best[-1][0]):
+            least = best_s[-1] if len(best_s) == k else 0.0
+            if bound[b] <= 0 or bound[b] * (1 + 1e-9) < least:
                 break
-            scores = x @ self.weights[b][at]
-            near = np.flatnonzero(scores >= -best[-1][0] if len(best) == k else scores > 0)
+            start, end = self.borders[at * self.blocks + b], self.borders[at * self.blocks + b + 1]
+            size = end - start
+            posts = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            scores = np.bincount(self.owner[posts], self.weight[posts] * np.repeat(x, size), self.block)
+            near = np.flatnonzero((scores >= least) & (scores > 0))
             if len(near):
-                best = sorted(best + [(-float(scores[j]), int(b) * BLOCK + int(j)) for j in near])[:k]
-        return [(int(self.ids[j]), -s, float(self.labels[j])) for s, j in best]
-
-    def score(self, neighbours: list[tuple[int, float, float]]) -> float:
-        """Share of toxic votes, each of the weight of its cosine, the base rate being one vote more."""
-        total = sum(s for _, s, _ in neighbours)
-        return (sum(s * y for _, s, y in neighbours) + self.base) / (total + 1)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_ROWS) -> BlockMaxIndex:
+                s, i, y = np.concatenate([best_s, scores[near]]), np.concatenate([best_i, self.ids[near + b * self.block]]), np.concatenate([best_y, self.labels[near + b * self.block]])
+                order = np.lexsort((i, -s))[:k]
+                best_s, best_i, best_y = s[order], i[order], y[order]
+        return list(zip(best_i.tolist(), best_s.tolist(), best_y.astype(int).tolist(), strict=True))
+
+    def raw(self, neighbours: list[tuple[int, float, int]]) -> float:
+        """Share of toxic votes, each of the weight of its squared cosine, the base rate having PRIOR votes more."""
+        total = sum(s * s for _, s, _ in neighbours)
+        return (sum(s * s * y for _, s, y in neighbours) + PRIOR * self.base) / (total + PRIOR)
+
+    def score(self, neighbours: list[tuple[int, float, int]]) -> float:
+        """The calibrated share; the base rate without neighbours."""
+        if not neighbours or not len(self.map[0]):
+            return self.base
+        return float(min(max(np.interp(self.raw(neighbours), *self.map), 0.0), 1.0))
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays that travel with the tasks."""
+        return sum(a.nbytes for a in (self.idf, self.ids, self.labels, self.owner, self.weight, self.borders, self.most))
+
+
+def rising_map(raw: np.ndarray, y: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the monotone map from raw scores to shares of ones: pooled adjacent groups, drawn to the base by one vote."""
+    groups: list[list[float]] = []  # raw sum, ones, rows
+    share = lambda g: (g[1] + base) / (g[2] + 1)
+    for k in np.lexsort((-y, raw)):
+        groups.append([raw[k], y[k], 1.0])
+        while len(groups) > 1 and share(groups[-2]) >= share(groups[-1]):
+            last = groups.pop()
+            groups[-1] = [a + b for a, b in zip(groups[-1], last, strict=True)]
+    return np.array([g[0] / g[2] for g in groups]), np.array([share(g) for g in groups])
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_ROWS, k: int = NEIGHBOURS, block: int = BLOCK
+) -> BlockMaxIndex:
     """The index of the labelled rows of docs: labels (id_col, label_col 0 or 1) joined on the id.
 
     At most about `sample` rows are used: with more, those whose hashed id falls under the fraction wanted. Term counts
-    are summed by Spark; the vocabulary has at most MAX_TERMS terms, so what reaches the driver is bounded. Null ids and
-    labels teach nothing; of several labels for an id the greatest holds; no labelled rows give an index without examples.
+    are summed by Spark. What reaches the driver is the vocabulary, of at most MAX_TERMS terms, and the examples' counts
+    of them: about 16 bytes for each term of each example. Null ids and labels teach nothing; of several labels for an id
+    the greatest holds; rows with equal ids and texts are one example; a labelled row without a term is an example that
+    nothing is near; no labelled rows give an index without examples; other columns are ignored.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
@@ -128,37 +177,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = materialize(base.join(marks, "id").mapInPandas(split, "id long, y int, terms array<string>, tf array<int>").dropDuplicates(["id", "terms", "tf"]), "examples")
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n:
-        return BlockMaxIndex({}, [], 0.0)
-    share = ones / n
-    seen = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("pos"))
-    z = (F.col("pos") - F.col("df") * share) / F.sqrt(F.col("df") * share * (1 - share) * (1 - F.col("df") / n) + 1e-9)
-    lift = F.col("pos") / F.col("df") >= min(MIN_LIFT * share, (1 + share) / 2)
-    vocab = seen.withColumn("z", z).where((F.col("z") >= MIN_Z) & (F.col("df") >= max(3, MIN_SHARE * ones)) & lift)
-    idf = {r["t"]: math.log((n + 1) / r["df"]) for r in vocab.orderBy(F.desc("z"), "t").limit(MAX_TERMS).collect()}
+        return BlockMaxIndex({}, 0, [], 0.0)
+    seen = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= max(2, MIN_SHARE * n))
+    df = {r["t"]: r["df"] for r in seen.orderBy(F.desc("df"), "t").limit(MAX_TERMS).collect()}
+    place = {t: k for k, t in enumerate(sorted(df))}
 
     def known_terms(batches):
         for pdf in batches:
-            pairs = [[(t, int(k)) for t, k in zip(ts, ks, strict=True) if t in idf] for ts, ks in zip(pdf["terms"], pdf["tf"], strict=True)]
-            out = pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [[t for t, _ in p] for p in pairs], "tf": [[k for _, k in p] for p in pairs]})
-            yield out[[bool(p) for p in pairs]]
+            pairs = [[(place[t], int(c)) for t, c in zip(ts, cs, strict=True) if t in place] for ts, cs in zip(pdf["terms"], pdf["tf"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [[t for t, _ in p] for p in pairs], "tf": [[c for _, c in p] for p in pairs]})
+
+    kept = materialize(rows.mapInPandas(known_terms, "id long, y int, terms array<int>, tf array<int>"), "counts")
+    index = BlockMaxIndex(df, n, [(r["id"], r["y"], dict(zip(r["terms"], r["tf"], strict=True))) for r in kept.collect()], ones / n, block)
+    held = docs.sparkSession.sparkContext.broadcast(index)
+
+    def without_itself(batches):
+        own = held.value
+        for pdf in batches:
+            found = [own.nearest(dict(zip(ts.tolist(), cs.tolist(), strict=True)), k + 1) for ts, cs in zip(pdf["terms"], pdf["tf"], strict=True)]
+            others = [[x for x in f if x[0] != i][:k] for i, f in zip(pdf["id"], found, strict=True)]
+            yield pd.DataFrame({"y": pdf["y"], "raw": [own.raw(f) if f else None for f in others]})
 
-    kept = rows.mapInPandas(known_terms, "id long, y int, terms array<string>, tf array<int>").collect() if idf else []
-    return BlockMaxIndex(idf, [(r["id"], r["y"], dict(zip(r["terms"], r["tf"], strict=True))) for r in sorted(kept, key=lambda r: r["id"])], share)
+    tried = kept.mapInPandas(without_itself, "y int, raw double").where("raw is not null").collect()
+    index.map = rising_map(np.array([r["raw"] for r in tried]), np.array([r["y"] for r in tried], np.float64), index.base)
+    return index
 
 
 def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
     """Scores of every whole text.
 
     Returns one row per input row: id_col, score (0 to 1), predicted (1 if score >= 0.5) and evidence (the nearest
-    examples as structs of id, cosine and label). A null or empty text, or one without a vocabulary term, has no
-    neighbours and the base rate as its score; repeated rows each get a row; an empty table gives none.
+    examples as structs of id, cosine and label, nearest first, ties by id). A null or empty text, or one without a
+    vocabulary term, has no neighbours and the base rate as its score; a text of any length is one vector; repeated rows
+    each get a row; an empty table gives none; other columns, whatever their names, are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def make(texts):
         own = held.value
         found = [own.nearest(own.counts(t), k) for t in texts]
-        return [own.score(f) for f in found], [[{"id": i, "cosine": c, "label": int(y)} for i, c, y in f] for f in found]
+        return [own.score(f) for f in found], [[{"id": i, "cosine": c, "label": y} for i, c, y in f] for f in found]
 
     fields = {"score": "double", "evidence": "array<struct<id:long,cosine:double,label:int>>"}
     done = map_texts(docs, {id_col: F.col(id_col)}, F.col(text_col).cast("string"), fields, make)
