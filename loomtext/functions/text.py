@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 # Patterns and word lists that decide which words match.
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 PIECE = r"[^\p{L}\p{N}]*" + WORD
-TYPED = r"\b[0-9]+(?:[.,][0-9]+)+\b|" + WORD
+MARKED = r"(?:[\p{L}\p{N}]\p{M}*)+(?:['’](?:[\p{L}\p{N}]\p{M}*)+)*"
+TYPED = r"\b[0-9]+(?:[.,][0-9]+)+\b|" + MARKED
 UNITS = TYPED + r"|[=<>≈]"
 BOILERPLATE = (
     "(?i)all rights reserved|creative commons|conflicts? of interest|no competing interests|data (?:are|is) available|"
@@ -23,9 +24,14 @@ STOPWORDS = (
 STATISTICS = "b d f m n p r t z df sd se sem ci es η β χ μ σ ρ".split()
 
 
+def fold(text: Column) -> Column:
+    """Case-folded text with straight apostrophes: lower case, and the letters whose folding is more than that."""
+    return F.replace(F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ")), F.lit("’"), F.lit("'"))
+
+
 def words(text: Column, pattern: str = WORD) -> Column:
-    """Array of the lower-cased word units of the text; null text gives null."""
-    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+    """Array of the case-folded word units of the text; null text gives null."""
+    return F.regexp_extract_all(fold(text), F.lit(pattern), F.lit(0))
 
 
 def fingerprint(text: Column) -> Column:

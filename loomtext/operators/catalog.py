@@ -79,8 +79,16 @@ def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "reference_id", "full").select("reference_id", change.alias("change"))
 
 
-def rolling(events: DataFrame, by: str, seconds: int, value: str | None = None, out: str = "n", ts: str = "ts") -> DataFrame:
-    """events with the count (or sum of value) of the key's events in the `seconds` up to and with each event."""
+def rolling(events: DataFrame, by: str | None, seconds: int, value: str | None = None, out: str = "n", ts: str = "ts") -> DataFrame:
+    """events with the count (or sum of value) of the key's events (all events without a key) in the `seconds` up to and with each.
+
+    Time is cut into slices of that length. An event stands in its slice and, to be counted, in the next one, so a
+    window never leaves its slice and a busy key is spread over as many tasks as it has slices.
+    """
+    span = seconds * 1_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(by).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn(out, F.count(F.lit(1)).over(w) if value is None else F.sum(value).over(w))
+    own = F.floor(at / span)
+    rows = events.withColumn("__at", at).withColumn("__slice", F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy(*[by] * bool(by), "__slice").orderBy("__at").rangeBetween(-span, 0)
+    rows = rows.withColumn(out, F.count(F.lit(1)).over(w) if value is None else F.sum(value).over(w))
+    return rows.where(F.col("__slice") == F.floor(F.col("__at") / span)).drop("__at", "__slice")

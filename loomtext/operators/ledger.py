@@ -19,7 +19,7 @@ def offset_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stop = F.coalesce(F.lead("piece").over(Window.partitionBy("doc_id").orderBy("pos")).rlike(r"^[.!?][\"”’)\]]*\s"), F.lit(False))
     at = pieces.select("doc_id", "pos", F.regexp_extract("piece", T.WORD, 0).alias("raw"), "piece", before.alias("before"), stop.alias("stop"))
     end = F.col("before") + F.length("piece")
-    return at.select("doc_id", "pos", F.lower("raw").alias("w"), (end - F.length("raw")).cast("int").alias("start"), end.cast("int").alias("end"), "stop")
+    return at.select("doc_id", "pos", T.fold(F.col("raw")).alias("w"), (end - F.length("raw")).cast("int").alias("start"), end.cast("int").alias("end"), "stop")
 
 
 def grams(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,6 +68,9 @@ def merge_intervals(spans: DataFrame, by: str = "doc_id") -> DataFrame:
 
 def mask(tokens: DataFrame, spans: DataFrame, out: str, by: str = "doc_id") -> DataFrame:
     """tokens with a boolean `out`: whether the token overlaps one of the (by, s, e) spans."""
-    spans = spans.select(F.col(by).alias("__b"), "s", "e")
-    hit = tokens.join(spans, (F.col(by) == F.col("__b")) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")), "left_semi").select(by, "pos").withColumn(out, F.lit(True))
-    return tokens.join(hit, [by, "pos"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    # One sweep a document: of the spans that start before a token ends, the one that reaches farthest decides.
+    at = tokens.withColumns({"__at": F.col("end").cast("long"), "__e": F.lit(None).cast("long")})
+    edges = spans.where("e > s").select(F.col(by), F.col("s").cast("long").alias("__at"), F.col("e").cast("long").alias("__e"))
+    order = Window.partitionBy(by).orderBy("__at", F.col("__e").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = at.unionByName(edges, allowMissingColumns=True).withColumn("__reach", F.max("__e").over(order)).where("__e is null")
+    return swept.withColumn(out, F.coalesce(F.col("__reach") > F.col("start"), F.lit(False))).drop("__at", "__e", "__reach")

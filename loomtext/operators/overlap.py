@@ -16,11 +16,11 @@ def sources_of(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").alias("doc_id"), "text")
 
 
-def seeds(manuscripts: DataFrame, sources: DataFrame, k: int) -> DataFrame:
-    """(m, s, i, j): places where k words of a manuscript equal k words of a source."""
+def seeds(manuscripts: DataFrame, sources: DataFrame, k: int, *keep: str) -> DataFrame:
+    """(m, s, i, j, keep...): places where k words (g, joined by blanks) of a manuscript equal k words of a source."""
     m = L.grams(manuscripts, k).select(F.col("doc_id").alias("m"), F.col("pos").alias("i"), F.xxhash64("g").alias("h"), "g")
     s = L.grams(sources, k).select(F.col("doc_id").alias("s"), F.col("pos").alias("j"), F.xxhash64("g").alias("h"), F.col("g").alias("g2"))
-    return m.join(s, "h").where("g = g2").select("m", "s", "i", "j")
+    return m.join(s, "h").where("g = g2").select("m", "s", "i", "j", *keep)
 
 
 def exact_runs(manuscripts: DataFrame, sources: DataFrame, k: int = 9) -> DataFrame:
@@ -70,11 +70,14 @@ def sentence_candidates(manuscripts: DataFrame, sources: DataFrame, least: int =
 
 
 def strong_anchors(manuscripts: DataFrame, sources: DataFrame) -> DataFrame:
-    """(m, s, i, j): equal six-word runs with at least two words of four letters or more."""
-    long_words = F.size(F.filter(F.split("g", " "), lambda w: F.length(w) >= 4))
-    m = L.grams(manuscripts, 6).where(long_words >= 2).select(F.col("doc_id").alias("m"), F.col("pos").alias("i"), "g")
-    s = L.grams(sources, 6).where(long_words >= 2).select(F.col("doc_id").alias("s"), F.col("pos").alias("j"), "g")
-    return m.join(s, "g").select("m", "s", "i", "j")
+    """(m, s, i, j): equal six-word runs with at least two words of four letters or more.
+
+    Every place of a run in a manuscript meets every place of it in a source: the result itself has all these rows.
+    Words are measured on the joined runs alone (j keeps the test from being pushed below the join).
+    """
+    run = F.when(F.col("j") >= 0, F.col("g"))
+    long_words = F.size(F.filter(F.split(run, " "), lambda w: F.length(w) >= 4))
+    return seeds(manuscripts, sources, 6, "g").where(long_words >= 2).select("m", "s", "i", "j")
 
 
 def identical(manuscripts: DataFrame, sources: DataFrame) -> DataFrame:

@@ -81,8 +81,9 @@ def rolling_quota(spark, d):
 
 
 def rate_limit(spark, d):
-    """Requests of a kind within one minute of each, up to and with it."""
-    return C.rolling(table(spark, d, "events"), "event_type", 15 * MINUTE).groupBy("event_type").agg(F.max("n").alias("peak"), F.count_if(F.col("n") > 3).alias("refused"))
+    """Requests refused in the minute up to and with each: over 10 of one owner, or over 30 in all."""
+    e = C.rolling(C.rolling(table(spark, d, "events"), "user_id", MINUTE), None, MINUTE, out="total")
+    return e.groupBy("user_id").agg(F.max("n").alias("peak"), F.max("total").alias("peak_total"), F.count_if((F.col("n") > 10) | (F.col("total") > 30)).alias("refused"))
 
 
 def budget_ledger(spark, d):
@@ -185,7 +186,9 @@ SELECT q.id AS ref, coalesce(pd, pt) AS paper, CASE WHEN pd IS NOT NULL THEN 'do
     "upsert_latest": (upsert_latest, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "idempotent_first": (idempotent_first, "SELECT user_id || '|' || props AS k, first(event_id ORDER BY ts, event_id) AS event_id FROM events GROUP BY 1"),
     "rolling_quota": (rolling_quota, f"SELECT event_id, n, n > 50 AS over FROM ({ROLL.format(what='count(*)', by='user_id', us=DAY * 1_000_000)})"),
-    "rate_limit": (rate_limit, f"SELECT event_type, max(n) AS peak, count(*) FILTER (WHERE n > 3) AS refused FROM ({ROLL.format(what='count(*)', by='event_type', us=15 * MINUTE * 1_000_000)}) GROUP BY event_type"),
+    "rate_limit": (rate_limit, f"""SELECT user_id, max(n) AS peak, max(total) AS peak_total, count(*) FILTER (WHERE n > 10 OR total > 30) AS refused FROM (
+  SELECT a.*, b.n AS total FROM ({ROLL.format(what='count(*)', by='user_id', us=MINUTE * 1_000_000)}) a
+  JOIN ({ROLL.format(what='count(*)', by='1', us=MINUTE * 1_000_000)}) b USING (event_id)) GROUP BY user_id"""),
     "budget_ledger": (budget_ledger, f"SELECT user_id, max(n)::BIGINT AS peak FROM ({ROLL.format(what='sum(round(value * 100)::BIGINT)', by='user_id', us=DAY * 1_000_000)}) GROUP BY user_id"),
     "retention_filter": (retention_filter, """SELECT event_type, count(*) AS n FROM events, (SELECT max(ts) AS last FROM events) WHERE epoch_us(last) - epoch_us(ts) <= 1000000::BIGINT * CASE event_type WHEN 'view' THEN 3600 WHEN 'click' THEN 14400 ELSE 86400 END GROUP BY event_type"""),
     "tombstones": (tombstones, "SELECT user_id, event_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'"),

@@ -12,9 +12,11 @@ from loomtext.operators import align, ledger as L, overlap as O, score as S
 from loomtext.session import table
 
 W = r"[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*"
+MARKED = r"(?:[\p{L}\p{N}]\p{M}*)+(?:[''’](?:[\p{L}\p{N}]\p{M}*)+)*"
+FOLD = "replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '’', '''')"
 #: Shared SQL: word arrays and ledgers of both sides, and word runs.
-D = f"d AS (SELECT doc_id AS m, regexp_extract_all(lower(text), '{W}') AS w FROM documents)"
-B = f"b AS (SELECT item_id AS s, regexp_extract_all(lower(text), '{W}') AS w FROM benchmark)"
+D = f"d AS (SELECT doc_id AS m, regexp_extract_all({FOLD}, '{W}') AS w FROM documents)"
+B = f"b AS (SELECT item_id AS s, regexp_extract_all({FOLD}, '{W}') AS w FROM benchmark)"
 DT = "dt AS (SELECT m, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM d)"
 BT = "bt AS (SELECT s, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS j FROM b)"
 
@@ -217,7 +219,7 @@ def evidence_groups(spark, d):
 
 
 def match_order(spark, d):
-    """The first hundred matches in report order."""
+    """All matches in report order."""
     return O.exact_runs(_docs(spark, d), _src(spark, d)).orderBy("m", "i", "s", "j").limit(100)
 
 
@@ -234,8 +236,8 @@ STATE_SQL = "SELECT m, count(DISTINCT s) AS examined FROM pos GROUP BY m"
 SPANS = RUNS + ", sp AS (SELECT m, s, i AS lo, i + n AS hi, j AS slo, j + n AS shi FROM runs), sh AS (SELECT m, s, lo + m % 4 AS lo, hi, slo + m % 4 AS slo, shi FROM sp WHERE hi - lo > 12)"
 QUERIES = {
     "token_ledger_counts": (token_ledger_counts, f"WITH {D} SELECT m AS doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct FROM d"),
-    "typed_units": (typed_units, rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\b[0-9]+(?:[.,][0-9]+)+\b|{W}') AS a,
-  regexp_extract_all(lower(text), '\b[0-9]+(?:[.,][0-9]+)+\b|{W}|[=<>≈]') AS u FROM documents)
+    "typed_units": (typed_units, rf"""WITH t AS (SELECT doc_id, regexp_extract_all({FOLD}, '\b[0-9]+(?:[.,][0-9]+)+\b|{MARKED}') AS a,
+  regexp_extract_all({FOLD}, '\b[0-9]+(?:[.,][0-9]+)+\b|{MARKED}|[=<>≈]') AS u FROM documents)
 SELECT doc_id, len(a) AS n_typed, len(list_filter(a, lambda x: regexp_full_match(x, '[0-9]+(?:[.,][0-9]+)+'))) AS n_numbers, len(u) - len(a) AS n_operators FROM t"""),
     "text_fingerprints": (text_fingerprints, f"WITH {D} SELECT m AS doc_id, sha256(array_to_string(w, ' ')) AS fingerprint FROM d"),
     "identical_documents": (identical_documents, f"WITH {D} SELECT sha256(array_to_string(w, ' ')) AS fingerprint, count(*) AS copies, min(m) AS first_id FROM d GROUP BY 1 HAVING count(*) > 1"),
@@ -243,7 +245,7 @@ SELECT doc_id, len(a) AS n_typed, len(list_filter(a, lambda x: regexp_full_match
     "ngram_counts": (ngram_counts, f"WITH {D} " + " UNION ALL ".join(f"SELECT m AS doc_id, {k} AS k, count(*) AS n, count(DISTINCT g) AS n_distinct FROM ({gram_sql(k, 'd', 'm', 'i')}) GROUP BY m" for k in (2, 3, 6, 9))),
     "window_tiles": (window_tiles, f"""WITH {D}, n AS (SELECT m, len(w) AS n, unnest(range(0, len(w), 96)) AS lo FROM d)
 SELECT m AS doc_id, lo, least(lo + 120, n) AS hi FROM n WHERE least(lo + 120, n) - lo >= 2 AND (lo = 0 OR lo + 24 < n)"""),
-    "content_words": (content_words, rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b[0-9]+(?:[.,][0-9]+)+\b|{W}|[=<>≈]')) AS w FROM documents),
+    "content_words": (content_words, rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all({FOLD}, '\b[0-9]+(?:[.,][0-9]+)+\b|{MARKED}|[=<>≈]')) AS w FROM documents),
 st AS (SELECT list_value({', '.join(repr(x) for x in T.STOPWORDS)}) AS l),
 f AS (SELECT doc_id, w, regexp_full_match(w, '\p{{L}}+') AND NOT list_contains(l, w) AS plain FROM t, st)
 SELECT doc_id, count(*) FILTER (WHERE plain AND length(w) >= 3) AS n_content,
@@ -301,7 +303,7 @@ SELECT m, s, lo, hi, dlo, dhi, CASE WHEN (abs(lo - dlo) <= 2 AND abs(hi - dhi) <
 SELECT c.m, a, b, count(DISTINCT s) AS sources FROM c JOIN sp ON sp.m = c.m AND lo < b AND hi > a WHERE b IS NOT NULL GROUP BY c.m, a, b"""),
     "evidence_groups": (evidence_groups, f"""WITH {SPANS}, t AS (SELECT m, s, count(*) AS words FROM pos GROUP BY m, s)
 SELECT sp.m, lo, hi, first(sp.s ORDER BY words DESC, sp.s) AS best_source, count(*) - 1 AS alternatives FROM sp JOIN t ON t.m = sp.m AND t.s = sp.s GROUP BY sp.m, lo, hi"""),
-    "match_order": (match_order, f"WITH {RUNS} SELECT m, s, i, j, n FROM runs ORDER BY m, i, s, j LIMIT 100"),
+    "match_order": (match_order, f"WITH {RUNS} SELECT m, s, i, j, n FROM runs ORDER BY m, i, s, j"),
     "result_states": (result_states, f"""WITH {RUNS}, x AS (SELECT d.m, len(d.w) AS den, coalesce(e.examined, 0) AS ex FROM d LEFT JOIN ({STATE_SQL}) e ON e.m = d.m)
 SELECT m, CASE WHEN ex = 0 THEN 'not_compared' WHEN den = 0 THEN 'unscorable' WHEN m % 7 = 0 THEN 'all_excluded' WHEN m % 3 = 0 THEN 'partial' ELSE 'complete' END AS state,
  CASE WHEN ex = 0 OR den = 0 THEN 'unavailable' WHEN m % 3 = 0 THEN 'lower_bound' ELSE 'observed' END AS score_kind FROM x"""),

@@ -61,17 +61,21 @@ def find(manuscripts: DataFrame, sources: DataFrame, model: str) -> DataFrame:
     raise ValueError(f"model is one of {', '.join(MODELS)}")
 
 
-def compare(manuscripts: DataFrame, sources: DataFrame, model: str = "improved") -> Report:
+def compare(manuscripts: DataFrame, sources: DataFrame, model: str = "improved", excluded: DataFrame | None = None) -> Report:
     """Compare every manuscript with every source, both (doc_id, text).
 
     Front matter, bibliography and longer quotations of a manuscript, and the bibliography of a source, match nothing
     and leave the denominator as said in the accounting. Sources too long, null or equal to a manuscript keep a coverage
-    row with the reason. Every manuscript and source keeps a row in its table whether it matched or not.
+    row with the reason. Every manuscript and source keeps a row in its table whether it matched or not; a manuscript that is null or too
+    long has no words there and the reason as its status. Sources in `excluded` (doc_id) are the user's own choice: they
+    are not compared and keep a coverage row that says so.
     """
     size = F.length("text")
-    long_ms = manuscripts.where(size > MAX_MANUSCRIPT)
+    skipped = manuscripts.where((size > MAX_MANUSCRIPT) | size.isNull()).select(F.col("doc_id").alias("m"), F.when(size.isNull(), "unavailable").otherwise("skipped-size-limit").alias("status"))
     manuscripts = manuscripts.where(size <= MAX_MANUSCRIPT).select("doc_id", "text")
     usable = sources.where(size <= MAX_SOURCE).select("doc_id", "text")
+    chosen = sources.select("doc_id").where("false") if excluded is None else excluded.select("doc_id").distinct()
+    usable = usable.join(chosen, "doc_id", "left_anti")
     ledger = materialize(R.ledger_with_masks(manuscripts), "ledger")
     s_tokens = L.mask(L.offset_ledger(usable), R.bibliography(R.segments(usable)), "bibliography").withColumn("ok", ~F.col("bibliography"))
     same = O.identical(manuscripts, usable)
@@ -88,18 +92,19 @@ def compare(manuscripts: DataFrame, sources: DataFrame, model: str = "improved")
     scores = scores.withColumn("percent", F.round(100 * F.col("overlap_words") / F.expr("nullif(denominator, 0)"), 2))
     limits = found.where("status <> 'compared'").select("s").distinct().withColumn("limited", F.lit(True))
     gone = same.select("s").distinct().withColumn("same", F.lit(True))
-    coverage = sources.select(F.col("doc_id").alias("s"), size.alias("n")).join(limits, "s", "left").join(gone, "s", "left").select(
+    coverage = sources.select(F.col("doc_id").alias("s"), size.alias("n")).join(limits, "s", "left").join(gone, "s", "left")
+    coverage = coverage.join(chosen.select(F.col("doc_id").alias("s"), F.lit(True).alias("chosen")), "s", "left").select(
         "s",
-        F.when(F.col("n").isNull(), "unavailable").when(F.col("n") > MAX_SOURCE, "skipped-size-limit").when(F.col("same"), "excluded-identical")
+        F.when(F.col("chosen"), "excluded-by-user").when(F.col("n").isNull(), "unavailable").when(F.col("n") > MAX_SOURCE, "skipped-size-limit").when(F.col("same"), "excluded-identical")
         .when(F.col("limited"), "compared-with-limits").otherwise("compared").alias("status"),
     )
-    unchecked = coverage.agg(F.count_if(~F.col("status").isin("compared", "excluded-identical")).alias("open"))
+    unchecked = coverage.agg(F.count_if(~F.col("status").isin("compared", "excluded-identical", "excluded-by-user")).alias("open"))
     hit = words.groupBy("m", "pos").agg(F.max("exact").alias("exact"))
     t = ledger.withColumnRenamed("doc_id", "m").join(hit, ["m", "pos"], "left").crossJoin(F.broadcast(unchecked))
     t = t.select("m", "pos", "front", "bibliography", "quoted", F.lit(False).alias("header"), F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce(~F.col("exact"), F.lit(False)).alias("similar"), (F.col("open") == 0).alias("all_checked"))
     intervals = L.run_length(S.word_states(t), "state", by="m")
-    too_long = long_ms.select(F.col("doc_id").alias("m"), F.lit(0).cast("long").alias("overlap_words"), F.lit(0).cast("long").alias("denominator"))
-    scores = scores.unionByName(too_long, allowMissingColumns=True)
+    without = skipped.select("m", F.lit(0).cast("long").alias("overlap_words"), F.lit(0).cast("long").alias("denominator"), "status")
+    scores = scores.withColumn("status", F.lit("compared")).unionByName(without, allowMissingColumns=True)
     return Report(found, coverage, scores, accounting, intervals, S.per_source(words, totals, sources))
 
 

@@ -162,7 +162,7 @@ SELECT doc_id, sum(e - length(regexp_extract(piece, '[\p{L}\p{N}].*$')))::BIGINT
     "hyphen_joins": (hyphen_joins, r"""WITH t AS (SELECT regexp_replace(text, '(th)(er[a-z]+) ', '\1-' || chr(10) || '\2 ', 'g') || chr(10) || text AS text FROM documents),
 c AS (SELECT DISTINCT lower(regexp_replace(x, '-[ \t]*\r?\n[ \t]*', '')) AS w FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}]+-[ \t]*\r?\n[ \t]*\p{L}+')) AS x FROM t)),
 i AS (SELECT DISTINCT lower(replace(x, '-', '')) AS w FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}]+-[\p{L}\p{N}]+')) AS x FROM t)),
-k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*')) AS w FROM t) SELECT w FROM c WHERE w IN (SELECT w FROM k) AND w NOT IN (SELECT w FROM i)"""),
+k AS (SELECT DISTINCT unnest(regexp_extract_all(replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '’', ''''), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*')) AS w FROM t) SELECT w FROM c WHERE w IN (SELECT w FROM k) AND w NOT IN (SELECT w FROM i)"""),
     "segment_violations": (segment_violations, None),
     "excerpts": (excerpts, """WITH a AS (SELECT doc_id, text, instr(text, 'the') - 1 AS p FROM documents WHERE instr(text, 'the') > 0)
 SELECT doc_id, substring(text, greatest(p - 20, 0) + 1, 43) AS excerpt, p - greatest(p - 20, 0) AS "start", p - greatest(p - 20, 0) + 3 AS "end" FROM a"""),
