@@ -48,7 +48,8 @@ def test_reports(tables, model, similar):
     r = report.compare(*tables, model=model)
     scores = {x["m"]: x for x in r.scores.collect()}
     assert scores[1]["overlap_words"] == 14 and scores[1]["denominator"] == 140 and scores[1]["percent"] == 10.0
-    assert scores[4]["percent"] is None and set(scores) == {1, 2, 4}
+    assert scores[4]["percent"] is None and set(scores) == {1, 2, 3, 4}
+    assert (scores[3]["status"], scores[3]["denominator"], scores[4]["status"]) == ("unavailable", 0, "compared")
     status = {x["s"]: x["status"] for x in r.coverage.collect()}
     assert status == {10: "compared", 11: "compared", 12: "excluded-identical", 13: "unavailable", 14: "compared"}
     per = {x["s"]: x["overlap_words"] for x in r.per_source.collect()}
@@ -57,6 +58,13 @@ def test_reports(tables, model, similar):
     assert states[0] == ("front-matter", 20) and ("not-fully-checked", 125) in states
 
 
+def test_excluded_sources(spark, tables):
+    ms, src = tables
+    r = report.compare(ms, src, "exact", excluded=src.where("doc_id = 10"))
+    status = {x["s"]: x["status"] for x in r.coverage.collect()}
+    assert status[10] == "excluded-by-user" and status[11] == "compared" and r.matches.where("s = 10").count() == 0
+
+
 def test_sinks(spark, tables, tmp_path):
     r = report.compare(*tables, model="exact")
     report.write_report(r, str(tmp_path / "r"))
