@@ -135,7 +135,7 @@ def test_line_dedup_empty(docs):
 
 def test_decontamination(spark, docs):
     rng = random.Random(2)
-    items = [(k, sentence(rng, n)) for k, n in enumerate([15, 22, 40, 60])] + [(None, sentence(rng, 20)), (8, None), (9, "too short")]
+    items = [(k, sentence(rng, n)) for k, n in enumerate([15, 22, 40, 60])] + [(None, sentence(rng, 20)), (8, None), (9, "too short"), (10, sentence(rng, 10)), (11, sentence(rng, 11)), (12, sentence(rng, 6))]
     clean = [(i, sentence(rng, 80)) for i in range(20)]
 
     def planted(text, changes):
@@ -145,18 +145,37 @@ def test_decontamination(spark, docs):
         return sentence(rng, 30) + ". " + ", ".join(w).upper() + "\n" + sentence(rng, 10)
 
     dirty = [(100 + k, planted(t, c)) for k, (t, c) in enumerate([(items[0][1], 0), (items[1][1], 2), (items[2][1], 6), (items[3][1], 9), (items[4][1], 0)])]
+    dirty += [(111, planted(items[7][1], 2)), (112, planted(items[8][1], 0)), (113, planted(items[9][1], 0))]
     dirty += [(110, " ".join(items[3][1].split()[10:32])), dirty[0], (None, dirty[1][1])]
-    odd = [(200, None), (201, ""), (202, "too short"), (203, ("long " + sentence(rng, 5) + " ") * 3000)]
+    odd = [(200, None), (201, ""), (202, "too short"), (204, planted(items[9][1], 1)), (205, " ".join(items[7][1].split()[:9])), (203, ("long " + sentence(rng, 5) + " ") * 3000)]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS w", "2 AS it")
     rows = clean + dirty + odd
     found = {r["id"] for r in decontam.contaminated(docs(rows), bench).collect()}
-    assert found == {100, 101, 102, 103, 104, 110, None}
-    left = decontam.decontaminate(docs(rows), bench).select("doc_id").collect()
-    assert sorted(r[0] for r in left) == [i for i, _ in clean] + [200, 201, 202, 203]
+    assert found == {100, 101, 102, 103, 104, 110, 111, 112, 113, None}
+    left = decontam.decontaminate(docs(rows).selectExpr("*", "1 AS __id", "3 AS hits", "4 AS `a.b`"), bench).select("doc_id").collect()
+    assert sorted(r[0] for r in left) == [i for i, _ in clean] + [200, 201, 202, 203, 204, 205]
     assert decontam.contaminated(docs([]), bench).count() == 0
     assert decontam.contaminated(docs(rows), bench.where("false")).count() == 0
 
 
+def test_decontamination_recall_at_the_bound(spark, docs):
+    """Passages with a fifth of their tokens substituted at random places: nine in ten are found at every length."""
+    rng = random.Random(11)
+    items, rows = [], []
+    for n in (12, 15, 20, 30, 50):
+        for _ in range(120):
+            item = sentence(rng, n).split()
+            copy = list(item)
+            for at in rng.sample(range(n), n // 5):
+                copy[at] = f"other{rng.randrange(10**6)}"
+            items.append((len(items), " ".join(item)))
+            rows.append((len(rows), sentence(rng, 25) + " " + " ".join(copy) + " " + sentence(rng, 25)))
+    found = {(r["id"], r["item"]) for r in decontam.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found <= {(k, k) for k in range(len(rows))}
+    for n, lo in zip((12, 15, 20, 30, 50), range(0, 600, 120)):
+        assert sum((k, k) in found for k in range(lo, lo + 120)) >= 0.9 * 120, n
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
