@@ -5,7 +5,7 @@ every cell whose border it is near: a pair that a border parts lies, on one side
 that the threshold allows. Guests within all of it are taken, which makes the search exact. A `reach` below sqrt(dim)
 takes those within that many standard deviations of the distance for a random direction, and loses pairs of vectors that
 vary in few directions. Cells are split into blocks, and blocks meet in pairs, so no task holds
-more than two blocks, whatever the size of a cell.
+more than two blocks and their products, whatever the size of a cell.
 """
 
 from __future__ import annotations
@@ -59,7 +59,9 @@ def near_vectors(
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     good = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = materialize(rows.withColumn("ok", F.col("id").isNotNull() & F.coalesce(good, F.lit(False))).select("id", F.when(F.col("ok"), F.col("v")).alias("v")), "vectors")
-    reps = materialize(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
+    keys = ["k1", "k2"]  # 128 bits stand for a vector, which travels no further than its class
+    rows = rows.withColumns({"k1": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "k2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(7), "v"))})
+    reps = materialize(rows.where("v is not null").groupBy(*keys).agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
 
     centres: dict[int, np.ndarray] = {}
     for r in reps.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect():
@@ -117,46 +119,37 @@ def near_vectors(
         xa, xb = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
         ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
         ca, cb = a["c"].to_numpy(), b["c"].to_numpy()
-        na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        root = {}
-
-        def find(r):
-            while root.setdefault(r, r) != r:
-                root[r] = r = root[root[r]]
-            return r
-
-        for k in range(0, len(a), 512):
-            i, j = np.nonzero(xa[k : k + 512] @ xb.T >= threshold)
-            i = i + k
-            if q >= 0:
-                keep = i < j if p == q else np.ones(len(i), bool)
-            else:  # also found in the guest's own cell if the host is a guest there: counted in the smaller cell
-                home = b["home"].to_numpy()[j]
-                again = np.array([h in a["guests"].iloc[x] for x, h in zip(i, home, strict=True)], bool)
-                keep = ~again | (cell < home)
-            i, j = i[keep], j[keep]
-            np.add.at(na, i, cb[j])
-            np.add.at(nb, j, ca[i])
-            for u, v in zip(ra[i].tolist(), rb[j].tolist(), strict=True):
-                u, v = find(u), find(v)
-                if u != v:
-                    root[max(u, v)] = min(u, v)
-        n: dict[int, int] = {}
-        for r, k in [*zip(ra.tolist(), na.tolist(), strict=True), *zip(rb.tolist(), nb.tolist(), strict=True)]:
-            if k:
-                n[r] = n.get(r, 0) + k
-        return pd.DataFrame({"rep": list(n), "n": list(n.values()), "to": [find(r) for r in n]})
+        near = xa @ xb.T >= threshold
+        if p == q:
+            near = np.triu(near, 1)
+        elif q < 0:  # also found in the guest's own cell if the host is a guest there: counted in the smaller cell
+            own, at = np.unique(b["home"].to_numpy(), return_inverse=True)
+            again = np.stack([np.isin(own, g) for g in a["guests"]])
+            near &= ~(again & (own <= cell))[:, at]
+        na, nb = near @ cb, ca @ near
+        # The smallest vector that links within these blocks reach: labels spread over the links until none changes.
+        la, lb, top = ra.copy(), rb.copy(), np.iinfo(np.int64).max
+        for block in iter(lambda: (la.sum(), lb.sum()), None):
+            lb = np.minimum(lb, np.where(near, la[:, None], top).min(axis=0))
+            la = np.minimum(la, np.where(near, lb[None, :], top).min(axis=1))
+            if p == q:
+                la = lb = np.minimum(la, lb)
+            if (la.sum(), lb.sum()) == block:
+                break
+        out = pd.DataFrame({"rep": np.concatenate([ra, rb]), "n": np.concatenate([na, nb]), "to": np.concatenate([la, lb])})
+        out = out[out["n"] > 0]
+        return out.groupby("rep", as_index=False).agg({"n": "sum", "to": "min"}) if p == q else out
 
     found = materialize(dealt.groupBy("dim", "cell", "p", "q").applyInPandas(links, "rep long, n long, to long"), "links")
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("rep"), "component")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     salts = 16
     done = reps.join(counts, "rep", "left").join(comp, "rep", "left")
-    done = done.select("v", "rep", (F.col("c") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
+    done = done.select(*keys, "rep", (F.col("c") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
     done = done.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(salts)).cast("int"))
-        .join(done, ["v", "salt"], "left")
+        .join(done, [*keys, "salt"], "left")
         .select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"))
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
         .select(id_col, "n_links", "component_id", "kept", "class_id")

@@ -8,10 +8,12 @@ with their slot. The map has as many rows as there are slots, whatever the numbe
 from __future__ import annotations
 
 import bisect
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from loomtext.session import materialize
+from loomtext.session import materialize, shared_dir
 
 SLOTS = 4096
 TOLERANCE = 0.002
@@ -66,19 +68,34 @@ def rebalance(shard_of: dict[int, int], sizes: dict[int, int], shards: int, tole
     return new
 
 
-def map_rows(spark: SparkSession, versions: list[dict[int, int]]) -> DataFrame:
-    """The versioned map as a table (version, vslot, shard), to be stored beside the shards."""
-    rows = [(v, s, k) for v, m in enumerate(versions) for s, k in sorted(m.items())]
+def map_rows(spark: SparkSession, versions: list[dict[int, int]], first: int = 0) -> DataFrame:
+    """Versions of the map, numbered from `first`, as a table (version, vslot, shard)."""
+    rows = [(v, s, k) for v, m in enumerate(versions, first) for s, k in sorted(m.items())]
     return spark.createDataFrame(rows, "version int, vslot int, shard int")
 
 
-def shard_records(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stored_map(spark: SparkSession, path: str) -> tuple[int, dict[int, int]] | None:
+    """The latest version that the table at `path` holds, as (version, shard of each slot); None where there is none yet."""
+    try:
+        table = spark.read.schema("version int, vslot int, shard int").parquet(path)
+    except AnalysisException:
+        return None
+    last = table.agg(F.max("version")).first()[0]
+    return None if last is None else (last, {r["vslot"]: r["shard"] for r in table.where(F.col("version") == last).collect()})
+
+
+def shard_records(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """Every record with its shard, near equal in bytes, and its place in the shard.
 
+    The slot map is a table (version, vslot, shard) at `map_path`, a new one in the shared folder unless given. Its latest
+    version (or version 0, slots dealt in turn, which is then stored) is rebalanced for the bytes found; if that moves a
+    slot, the edited map is appended as the next version. With another number of shards than before, slots of shards that
+    are no more are dealt in turn first.
+
     A record's size is the UTF-8 bytes of its text (null: none) plus 1. Returns one row per input row: id_col, size
     (long), text_crc32 (long, unsigned, of the UTF-8 bytes; null text: that of no bytes), vslot (its virtual slot), shard
     and slot (its place in the shard, from 0 without gaps: by virtual slot, then id, checksum and size). The slot comes
-    from the id, checksum and size, so equal ids or a hot text alone do not fill one slot; rows equal in all three share
+    from the id, checksum and size, so equal ids or a hot text alone do not fill one slot (copies of a text are spread on purpose); rows equal in all three share
     a slot and are placed in any order. Null ids are hashed and ordered as a value of their own; an empty table gives no
     rows; other input columns are ignored.
     """
@@ -87,7 +104,14 @@ def shard_records(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col:
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
     rows = materialize(rows.withColumn("vslot", slot_of(F.col("id"), F.col("crc"), F.col("size"), slots=slots)), "records")
     sums = {r["vslot"]: (r["b"], r["n"]) for r in rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
-    final = rebalance(first_map(shards, slots), {s: b for s, (b, _) in sums.items()}, shards)
+    path = map_path or f"{shared_dir(spark).rstrip('/')}/loomtext-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/slot_map"
+    known = stored_map(spark, path)
+    version, old = known or (0, first_map(shards, slots))
+    if known is None:
+        map_rows(spark, [old]).write.mode("append").parquet(path)
+    final = rebalance({s: k if k < shards else s % shards for s, k in old.items()}, {s: b for s, (b, _) in sums.items()}, shards)
+    if final != old:
+        map_rows(spark, [final], version + 1).write.mode("append").parquet(path)
     offset, base = [0] * shards, []
     for s in range(slots):
         base.append((s, final[s], offset[final[s]]))

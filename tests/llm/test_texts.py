@@ -114,6 +114,23 @@ def test_sharding(docs):
     assert sharding.shard_records(docs([])).count() == 0
 
 
+def test_stored_map_is_edited(spark, docs, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, sentence(rng, rng.randrange(1, 60))) for i in range(2000)]
+    path = str(tmp_path / "map")
+    sharding.shard_records(docs(rows), slots=256, map_path=path).count()
+    last, first = sharding.stored_map(spark, path)
+    assert last == 1 and spark.read.parquet(path).groupBy("version").count().count() == 2
+    again = sharding.shard_records(docs(rows), slots=256, map_path=path)
+    assert sharding.stored_map(spark, path)[0] == 1 and {r["vslot"]: r["shard"] for r in again.collect()}.items() <= first.items()
+    more = docs(rows + [(i, sentence(rng, 50)) for i in range(2000, 2200)])
+    by = sharding.shard_records(more, slots=256, map_path=path).groupBy("shard").sum("size").toPandas()["sum(size)"]
+    last, second = sharding.stored_map(spark, path)
+    assert last == 2 and sum(first[s] != second[s] for s in first) < 100 and by.max() - by.min() <= 0.02 * by.mean()
+    sharding.shard_records(docs(rows), shards=6, slots=256, map_path=path).count()
+    assert set(sharding.stored_map(spark, path)[1].values()) == set(range(6))
+
+
 def test_rebalance_moves_few_slots(spark):
     rng = random.Random(1)
     old, sizes = sharding.first_map(8, 512), {s: rng.randrange(1, 1000) for s in range(512)}
