@@ -39,6 +39,17 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.array_join(words(text), " "), 256)
 
 
+def ledger_hash(text: Column) -> Column:
+    """SHA-256 of the words as a compact JSON list; a null text has none."""
+    return F.sha2(F.to_json(words(text)), 256)
+
+
+def numeric_prefix(a: Column, b: Column) -> Column:
+    """How many leading characters two different numerals share, if a decimal mark is among them, else 0."""
+    same = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda k: a.substr(F.lit(1), k) == b.substr(F.lit(1), k)))
+    return F.when((a != b) & a.substr(F.lit(1), same).rlike("[.,]"), same).otherwise(0)
+
+
 def is_content(w: Column, least: int = 3) -> Column:
     """A word of letters only, long enough and no stop word."""
     return w.rlike(r"^\p{L}+$") & (F.length(w) >= least) & ~w.isin(STOPWORDS)

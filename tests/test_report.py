@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext.functions import text as T
 from loomtext.operators import ledger as L, structure as R
 from loomtext.operators.components import connected_components
 from loomtext.plans import report
@@ -134,3 +135,16 @@ def test_every_manuscript_has_word_states(spark):
     got = registry.QUERIES["word_states_all_intervals"](spark, sf).groupBy("m").agg(F.sum(F.col("hi") - F.col("lo")).alias("n"))
     have = {r["doc_id"]: r["n"] for r in L.ledger(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert {r["m"]: r["n"] for r in got.collect()} == have
+
+
+def test_numeric_prefix_and_ledger_hash(spark):
+    import hashlib
+    import json
+
+    rows = [("12.345", "12.349", 5), ("12.3", "12.3", 0), ("1234", "1239", 0), ("1,2", "1,9", 2), ("9.1", "8.1", 0)]
+    got = spark.createDataFrame(rows, "a string, b string, n int").select(T.numeric_prefix(F.col("a"), F.col("b")).alias("p"), "n").collect()
+    assert all(r["p"] == r["n"] for r in got)
+    text = "Größe don’t ΟΔΟΣ 12"
+    words = ["grösse", "don't", "οδοσ", "12"]
+    (row,) = spark.createDataFrame([(text,)], "t string").select(T.words(F.col("t")).alias("w"), T.ledger_hash(F.col("t")).alias("h")).collect()
+    assert row["w"] == words and row["h"] == hashlib.sha256(json.dumps(words, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
