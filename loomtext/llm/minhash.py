@@ -4,7 +4,7 @@ Word shingles are hashed to 64 bits; 192 minima per document give 38 band keys o
 signature of the minima's low four bits (12 longs; documents of the last round get 64 more). Candidates whose collision-corrected estimate could still reach the
 threshold are confirmed on the full shingle sets. Links are sought in three rounds (smallest partner, bucket leaders,
 then every remaining pair of a bucket whose ends lie in different components), so groups of copies never expand into
-all their pairs.
+all their pairs. In that last round the open documents of a large bucket are dealt to blocks, and blocks meet in pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ PERMUTATIONS, ROWS, BITS = 192, 5, 4
 BANDS = PERMUTATIONS // ROWS
 LANES = PERMUTATIONS * BITS // 64
 FINE = 1024
+#: Open documents of a bucket that one group of the last round compares at once.
+BLOCK = 2000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -156,7 +158,7 @@ def _floor(percent: int, slack: float, n: int) -> float:
 
 
 def near_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, slack: float = 4.0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, slack: float = 4.0, block: int = BLOCK
 ) -> DataFrame:
     """Near-duplicate components of documents.
 
@@ -240,14 +242,19 @@ def near_components(
     can = can.where(100 * F.col("most") >= percent * F.col("n"))
     fine = _fine(own.join(can.select("rep"), "rep", "left_semi"))
     open_ = materialize(open_.join(materialize(can.join(fine, "rep"), "fine"), "rep"), "bounded")
-    side = lambda n: open_.select("band", F.col("rep").alias(n), *[F.col(k).alias(k + n) for k in ("c", "sig", "n", "most", "bands", "fine")], F.col("k").alias(f"k{n}"))
-    x, y = side("a"), side("b")
+    # A bucket of several blocks becomes groups (p, q), p <= q, of two blocks each: no group outgrows its task.
+    dealt = open_.join(small_side(open_.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))), "band")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    side = lambda n: dealt.select(F.col("rep").alias(n), *[F.col(k).alias(k + n) for k in ("band", "p", "q", "own", "k", "c", "n", "most", "sig", "bands", "fine")])
+    x, y = side("a").where("owna = pa"), side("b").where("ownb = qb")
     shared_most = F.least("mosta", "mostb")
     within = 100 * shared_most >= percent * (F.col("na") + F.col("nb") - shared_most)
     # A pair counts in the first band that it shares; the finer signature then leaves little but pairs at the threshold.
     earlier = F.arrays_overlap(F.slice("bandsa", F.lit(1), F.col("ka")), F.slice("bandsb", F.lit(1), F.col("kb")))
     likely_rest = (matching_estimate("siga", "sigb") >= floor) & ~earlier & (fine_estimate("finea", "fineb") >= fine_floor)
-    rest = x.join(y, (x.band == y.band) & (x.a < y.b) & (x.ca != y.cb) & within & likely_rest).select("a", "b").distinct()
+    once = F.expr("pa < qa OR a < b")
+    rest = x.join(y, F.expr("banda = bandb AND pa = pb AND qa = qb AND ca <> cb") & once & within & likely_rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     last = materialize(confirmed(rest.join(leads, ["a", "b"], "left_anti")), "links3")
     if last.limit(1).count():
         lab = labels(links.unionByName(last))

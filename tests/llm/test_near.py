@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from loomtext.llm import decontam, embed_dedup, line_dedup, minhash
 
@@ -43,9 +44,10 @@ def near_rows():
     return rows + [(900, None), (901, ""), (902, " \n\t"), (903, "two words"), (904, "Two  WORDS"), (905, "É accent"), (906, "é accent"), (903, "two words"), (None, rows[0][1]), (None, None)]
 
 
-def test_minhash_against_brute_force(docs):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3])
+def test_minhash_against_brute_force(docs, block):
     rows = near_rows()
-    got = minhash.near_components(docs(rows), width=4).collect()
+    got = minhash.near_components(docs(rows), width=4, block=block).collect()
     assert len(got) == len(rows)
     sets = {i: shingle_set(t, 4) for i, t in rows if i is not None}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -58,6 +60,23 @@ def test_minhash_against_brute_force(docs):
     assert named["component_id"] == want[rows[0][0]] and not named["kept"]
 
 
+def test_minhash_links_that_no_leader_has(docs):
+    """Many different texts around one passage, so that they share bands, some with a near copy beyond their leader."""
+    rng = random.Random(11)
+    passage, rows = sentence(rng, 60), []
+    for k in range(60):
+        own = sentence(rng, 30)
+        rows.append((k, f"{passage} {own}"))
+        if k % 3 == 0:
+            rows.append((1000 + k, f"{passage} {own} {sentence(rng, 6)}"))
+    sets = {i: shingle_set(t, 1) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(sets, links)
+    for block in (minhash.BLOCK, 4):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_components(docs(rows), width=1, block=block).collect()}
+        assert got == want
+
+
 def test_minhash_empty(docs):
     assert minhash.near_components(docs([])).count() == 0
     assert minhash.near_components(docs([(1, None)])).collect()[0]["kept"]
