@@ -88,6 +88,16 @@ def title_key(title: Column) -> Column:
     return F.array_join(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
 
 
+def context(text: Column, start: Column, end: Column, most: int = 600) -> tuple[Column, Column]:
+    """Bounds of [start, end) widened by at most `most` characters each way, to the nearest end of a sentence or paragraph if one is there."""
+    left = F.greatest(start - most, F.lit(0))
+    before, after = text.substr(left + 1, start - left), text.substr(end + 1, F.lit(most))
+    first = r"(?s)^(.*?(?:[.!?][\"”]?(?=\s|$)|\n[ \t]*\n))"
+    reach = F.length(F.regexp_extract(after, first, 1))
+    lo = left + F.length(F.regexp_extract(before, r"(?s)^.*(?:[.!?][\"”]?\s+|\n[ \t]*\n)", 0))
+    return lo, F.when(reach > 0, end + reach).otherwise(F.least(end + most, F.length(text)))
+
+
 def csv_safe(value: Column) -> Column:
     """A cell that no spreadsheet takes for a formula."""
     return F.when(value.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)
