@@ -52,14 +52,16 @@ _TYPES = {
 }
 
 
-def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, fields: dict[str, str], make: Callable[[list], list], rows: int = ROWS, size: int = CHARS) -> DataFrame:
+def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, fields: dict[str, str], make: Callable[..., list], rows: int = ROWS, size: int = CHARS, more: list[Column] | None = None) -> DataFrame:
     """The columns of `keep` as they are, and new columns that `make` gives for a list of texts (one list a field).
 
-    Texts go to `make` in parts of at most `rows` values and about `size` bytes; what is kept passes through Arrow
+    The values of the columns in `more` go to `make` beside the texts, a list each. Texts go to `make` in parts of at most `rows` values and about `size` bytes; what is kept passes through Arrow
     untouched, whatever its type and nulls.
     """
     small_batches(df.sparkSession)
-    plain = df.select(*[c.alias(f"c{k}") for k, c in enumerate(keep.values())], text.alias("text"))
+    more = more or []
+    plain = df.select(*[c.alias(f"c{k}") for k, c in enumerate(keep.values())], *[c.alias(f"m{k}") for k, c in enumerate(more)], text.alias("text"))
+    n_kept = len(keep)
     types = [_TYPES[t] for t in fields.values()]
 
     def run(batches):
@@ -71,12 +73,12 @@ def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, fields: dict
             for k, n in enumerate([*sizes, None]):
                 if k > start and (n is None or k - start >= rows or held + n > size):
                     part = batch.slice(start, k - start)
-                    new = make(part.column("text").to_pylist())
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(v, t) for v, t in zip(new, types, strict=True)]], names=[*part.schema.names[:-1], *fields])
+                    new = make(part.column("text").to_pylist(), *[c.to_pylist() for c in part.columns[n_kept:-1]])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *[pa.array(v, t) for v, t in zip(new, types, strict=True)]], names=[*part.schema.names[:n_kept], *fields])
                     start, held = k, 0
                 held += n or 0
         trim()
 
-    old = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(plain.schema.fields[:-1]))
+    old = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(plain.schema.fields[:n_kept]))
     done = plain.mapInArrow(run, ", ".join([old] * bool(old) + [f"{n} {t}" for n, t in fields.items()]))
     return done.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(keep)], *fields)
