@@ -49,6 +49,9 @@ def parts(batches: Iterator[pd.DataFrame], rows: int = ROWS, chars: int = CHARS,
 _TYPES = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
     "array<struct<id:long,cosine:double,label:int>>": pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])),
+    "array<struct<label:string,start:long,end:long,priority:int,base:boolean>>": pa.list_(
+        pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("priority", pa.int32()), ("base", pa.bool_())])
+    ),
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from loomtext.llm import byte_bpe, decontam, embed_dedup, fill_middle, lang_id, line_dedup, minhash, secret_scan, sharding, token_counts, toxicity
+from loomtext.llm import byte_bpe, decontam, embed_dedup, fill_middle, lang_id, license_scan, line_dedup, minhash, secret_scan, sharding, token_counts, toxicity
 from loomtext.session import table
 
 
@@ -65,9 +65,13 @@ def op12_fill_middle(spark, sf_dir):
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_licenses(spark, sf_dir):
+    return license_scan.summary(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontam": op1_decontam, "op2_embed_dedup": op2_embed_dedup, "op3_secrets": op3_secrets, "op4_token_counts": op4_token_counts,
     "op5_lang_id": op5_lang_id, "op6_sharding": op6_sharding, "op7_minhash": op7_minhash, "op8_byte_bpe": op8_byte_bpe,
-    "op9_line_dedup": op9_line_dedup, "op10_toxicity": op10_toxicity, "op12_fill_middle": op12_fill_middle,
+    "op9_line_dedup": op9_line_dedup, "op10_toxicity": op10_toxicity, "op12_fill_middle": op12_fill_middle, "op13_licenses": op13_licenses,
 }
 ORACLE_SQL = {"op1_decontam": decontam.SQL, "op9_line_dedup": line_dedup.SQL, "op12_fill_middle": fill_middle.SQL}
