@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from loomtext.llm import byte_bpe, decontam, embed_dedup, fill_middle, lang_id, license_scan, line_dedup, minhash, secret_scan, sharding, token_counts, toxicity
+from loomtext.llm import byte_bpe, collocations, decontam, embed_dedup, fill_middle, lang_id, license_scan, line_dedup, minhash, secret_scan, sharding, token_counts, toxicity
 from loomtext.session import table
 
 
@@ -61,6 +61,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, index).withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark, sf_dir):
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,6 @@ def op13_licenses(spark, sf_dir):
 QUERIES = {
     "op1_decontam": op1_decontam, "op2_embed_dedup": op2_embed_dedup, "op3_secrets": op3_secrets, "op4_token_counts": op4_token_counts,
     "op5_lang_id": op5_lang_id, "op6_sharding": op6_sharding, "op7_minhash": op7_minhash, "op8_byte_bpe": op8_byte_bpe,
-    "op9_line_dedup": op9_line_dedup, "op10_toxicity": op10_toxicity, "op12_fill_middle": op12_fill_middle, "op13_licenses": op13_licenses,
+    "op9_line_dedup": op9_line_dedup, "op10_toxicity": op10_toxicity, "op11_collocations": op11_collocations, "op12_fill_middle": op12_fill_middle, "op13_licenses": op13_licenses,
 }
-ORACLE_SQL = {"op1_decontam": decontam.SQL, "op9_line_dedup": line_dedup.SQL, "op12_fill_middle": fill_middle.SQL}
+ORACLE_SQL = {"op1_decontam": decontam.SQL, "op9_line_dedup": line_dedup.SQL, "op11_collocations": collocations.SQL, "op12_fill_middle": fill_middle.SQL}
