@@ -9,9 +9,9 @@ count of the corpus a level, in order of the bounds: first all above the cut, an
 fewer surviving phrases above its cut than asked for, with a batch four times as large. When enough survive, every phrase
 that reaches the cut, ties included, has been counted, and so has every longer phrase that could suppress one.
 
-Counting: each task hashes its words to 64 bits with numpy, whole batches at a time, and adds equal phrases up before
-they leave it; Spark adds up the rest. That no two words of the corpus share a hash is checked on the table of all words
-(another seed is taken otherwise), so counts are exact. The first level counts only pairs of frequent words, the others
+Counting: each task hashes words, with their language, to 64 bits with numpy, some million at a time, and adds equal
+phrases up before they leave it; Spark adds up the rest. That no two words share a hash is checked on the table of all
+words (another seed is taken otherwise), so counts are exact. The first level counts only pairs of frequent words, the others
 only phrases in the frontier: such sets go to the tasks as sorted 64-bit keys when they are counted to be small, and are
 joined afterwards when they are not. A key that two phrases share lets a phrase too many be counted, and changes none.
 """
@@ -45,51 +45,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+
+
 class Hasher:
-    """64-bit hashes of the words of a buffer."""
+    """64-bit hashes of the words of a buffer, eight bytes at a time."""
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.seed = seed
-        self.codes = rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-        self.step = rng.integers(1, 2**63, dtype=np.uint64) * _U(2) + _U(1)
-
-    def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        lengths = ends - starts
-        out = lengths.astype(np.uint64)
-        short = np.flatnonzero(lengths <= LONG_WORD)
-        if len(short):
-            n = lengths[short]
-            first = np.cumsum(n) - n
-            within = np.arange(n.sum()) - np.repeat(first, n)
-            power = np.cumprod(np.full(n.max(), self.step, np.uint64))
-            values = self.codes[raw[np.repeat(starts[short], n) + within]] * power[within]
-            out[short] = _mix(np.add.reduceat(values, first) + out[short])
-        for k in np.flatnonzero(lengths > LONG_WORD).tolist():
-            out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8, key=str(self.seed).encode()).digest(), "little")
-        return out.view(np.int64)
-
-
-def lang_key(lang: str) -> np.uint64:
-    return _U(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
-
-
-def phrase_key(langs: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit key for each language key with its words."""
-    key = langs.astype(np.uint64)
+        self.key = str(seed).encode()
+        self.start = self.of(b"")
+
+    def of(self, data: bytes) -> np.uint64:
+        return _U(int.from_bytes(hashlib.blake2b(data, digest_size=8, key=self.key).digest(), "little"))
+
+    def __call__(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        eight = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
+        left = ends - starts
+        out = self.start ^ left.astype(np.uint64)
+        words = np.flatnonzero(left <= LONG_WORD)
+        at, left = starts[words], left[words]
+        while len(words):
+            part = eight[at] & _MASKS[np.minimum(left, 8)]
+            out[words] = _mix((out[words] ^ part) * _U(0x9E3779B97F4A7C15) + _U(1))
+            more = left > 8
+            words, at, left = words[more], at[more] + 8, left[more] - 8
+        for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            out[k] = self.of(data[starts[k] : ends[k]])
+        return out
+
+
+def phrase_key(words: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit key of the words' hashes."""
+    key = np.zeros(len(words[0]), np.uint64)
     for w in words:
         key = _mix((key ^ w.view(np.uint64)) * _U(0x9E3779B97F4A7C15) + _U(1))
     return key.view(np.int64)
 
 
-def _blobs(rows: Iterator[tuple[str | None, str]]) -> Iterator[tuple[bytes, list[int], list[str], bool]]:
+def _blobs(rows: Iterator[tuple[bytes | None, str]]) -> Iterator[tuple[bytes, list[int], list[str], bool]]:
     """Translated bytes with the offset and language of each text in them, and whether they go on in the last one's text.
 
     Texts share a blob with a break between them; a longer one is cut behind a blank or break nearest to BLOB bytes.
     """
     held, at, langs, size = [], [], [], 0
     for text, lang in rows:
-        data = (text or "").encode().translate(_TABLE)
+        data = (text or b"").translate(_TABLE)
         if size and size + len(data) > BLOB:
             yield b"\n".join(held), at, langs, False
             held, at, langs, size = [], [], [], 0
@@ -114,14 +114,14 @@ def _blobs(rows: Iterator[tuple[str | None, str]]) -> Iterator[tuple[bytes, list
 
 
 class Words:
-    """The words of a task's texts, blob by blob: language code, running number of the piece, place in the blob."""
+    """The words of a task's texts, blob by blob: bytes, starts, ends, language codes and running number of the piece."""
 
     def __init__(self) -> None:
         self.langs: list[str] = []
         self.codes: dict[str, int] = {}
         self.piece = 0
 
-    def read(self, rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def read(self, rows) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for data, at, langs, goes_on in _blobs(rows):
             raw = np.frombuffer(data, np.uint8)
             inside = (raw != BLANK) & (raw != BREAK)
@@ -137,13 +137,18 @@ class Words:
                     self.langs.append(x)
             lang = np.array([self.codes[x] for x in langs], np.int32)[np.searchsorted(at, starts, side="right") - 1]
             if len(starts):
-                yield raw, starts, ends, lang, pieces
+                yield data, starts, ends, lang, pieces
+
+    def hashes(self, hasher: Hasher, data: bytes, starts: np.ndarray, ends: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Hashes of the words with their languages."""
+        names = np.array([hasher.of(x.encode()) for x in self.langs], np.uint64)
+        return _mix(hasher(data, starts, ends) ^ names[lang]).view(np.int64)
 
-    def batches(self, lang: np.ndarray, columns: dict[str, pa.Array | np.ndarray], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-        names = pa.DictionaryArray.from_arrays(pa.array(lang, pa.int32()), pa.array(self.langs, pa.string())).dictionary_decode()
-        whole = pa.RecordBatch.from_arrays([names, *[c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns.values()]], names=["lang", *columns])
-        for k in range(0, len(whole), most):
-            yield whole.slice(k, most)
+
+def _sliced(columns: dict[str, pa.Array | np.ndarray], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns.values()], names=list(columns))
+    for k in range(0, len(whole), most):
+        yield whole.slice(k, most)
 
 
 def tally(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +163,7 @@ def tally(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.append(first, len(order)))
 
 
-def _texts(batches) -> Iterator[tuple[str | None, str]]:
+def _texts(batches) -> Iterator[tuple[bytes | None, str]]:
     for batch in batches:
         yield from zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)
 
@@ -169,28 +174,42 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
 
     def run(batches):
         words, hasher, check = Words(), Hasher(seed), Hasher(seed + 1_000_003)
-        for raw, starts, ends, lang, _ in words.read(_texts(batches)):
-            h = hasher(raw, starts, ends)
-            at, n = tally([lang, h, check(raw, starts, ends)])
-            data = raw.tobytes()
-            text = pa.array([data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())], pa.string())
-            yield from words.batches(lang[at], {"h": h[at], "word": text, "a": n})
+        held, size = [], 0
+
+        def flush():
+            lang, h, h2, blob, starts, ends = (np.concatenate(c) for c in list(zip(*held))[1:])
+            # Two words that share a hash stay apart by the second one, to be found out later.
+            at, n = tally([h, h2])
+            text = pa.array([held[k][0][a:b].decode() for k, a, b in zip(blob[at].tolist(), starts[at].tolist(), ends[at].tolist())], pa.string())
+            names = pa.DictionaryArray.from_arrays(pa.array(lang[at], pa.int32()), pa.array(words.langs, pa.string())).dictionary_decode()
+            return _sliced({"lang": names, "h": h[at], "word": text, "a": n})
+
+        for data, starts, ends, lang, _ in words.read(_texts(batches)):
+            h, h2 = (words.hashes(f, data, starts, ends, lang) for f in (hasher, check))
+            held.append((data, lang, h, h2, np.full(len(h), len(held), np.int32), starts.astype(np.int32), ends.astype(np.int32)))
+            size += len(h)
+            if size >= HELD // 2:
+                yield from flush()
+                held.clear()
+                size = 0
+        if held:
+            yield from flush()
         trim()
 
     parts = docs.select("lang", "text").mapInArrow(run, "lang string, h long, word string, a long")
-    return parts.groupBy("lang", "h", "word").agg(F.sum("a").alias("a"))
+    return parts.groupBy("h", "lang", "word").agg(F.sum("a").alias("a")).select("lang", "h", "word", "a")
 
 
 def distinct_hashes(words: DataFrame) -> bool:
-    """Whether no two words share a hash."""
-    return not words.groupBy("h").agg(F.min("word").alias("lo"), F.max("word").alias("hi")).where("lo <> hi").limit(1).count()
+    """Whether no two words, of one language or of two, share a hash."""
+    return words.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
 
 
 class Wanted:
-    """Phrases of `width` words (w1, w2, ...) of each language; as sorted keys in every task if they are few, else for a join."""
+    """Phrases of `width` words (w1, w2, ...); as sorted keys in every task if they are few, else for a join."""
 
     def __init__(self, phrases: DataFrame, width: int):
-        self.columns = ["lang", *_w(width)]
+        self.columns = _w(width)
         self.phrases = phrases.select(*self.columns).distinct()
         self.width = width
         few = phrases.count() <= MAX_KEYS
@@ -201,22 +220,20 @@ class Wanted:
             self.keys.unpersist()
 
     def _keys(self) -> np.ndarray:
-        columns = self.columns[1:]
+        columns = self.columns
 
         def run(batches):
             for b in batches:
-                names = b.column("lang").dictionary_encode()
-                langs = np.array([lang_key(x) for x in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
-                yield pa.RecordBatch.from_arrays([pa.array(phrase_key(langs, [b.column(c).to_numpy() for c in columns]))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(phrase_key([b.column(c).to_numpy() for c in columns]))], names=["key"])
 
         found = self.phrases.mapInArrow(run, "key long").toArrow().column("key").to_numpy()
         return np.unique(found)
 
     def among(self, counted: DataFrame, first: int) -> DataFrame:
-        """(w1, w2, ...) of the counted phrases whose words from `first` on are wanted."""
-        here = [f"w{first + k}" for k in range(self.width)]
-        wanted = self.phrases.select("lang", *[F.col(c).alias(h) for c, h in zip(self.columns[1:], here, strict=True)])
-        return counted.join(small_side(wanted), ["lang", *here], "left_semi")
+        """The counted phrases whose words from the `first` on are wanted."""
+        here = _w(self.width, first)
+        wanted = self.phrases.select(*[F.col(c).alias(h) for c, h in zip(self.columns, here, strict=True)])
+        return counted.join(small_side(wanted), here, "left_semi")
 
 
 def _w(k: int, first: int = 1) -> list[str]:
@@ -232,7 +249,7 @@ def _within(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def phrase_counts(docs: DataFrame, seed: int, k: int, wanted: list[tuple[Wanted, int]], every: bool = False, least: int = 30) -> DataFrame:
-    """(lang, w1..wk, a): counts of `least` or more of k-word phrases with a wanted part, or with all parts wanted (`every`).
+    """(w1..wk, a): counts of `least` or more of k-word phrases with a wanted part, or with all parts wanted (`every`).
 
     `wanted` holds sets and the place, from 1, of the phrase's word that their phrases must begin at.
     """
@@ -240,44 +257,41 @@ def phrase_counts(docs: DataFrame, seed: int, k: int, wanted: list[tuple[Wanted,
     sets = [(w.keys, w.width, first - 1) for w, first in wanted]
     local = all(keys is not None for keys, _, _ in sets)
 
-    def emit(words, lang, piece, h):
+    def emit(piece, h):
         n = len(h) - k + 1
         if n < 1:
             return
-        keep = piece[:n] == piece[k - 1 :]
+        at = np.flatnonzero(piece[:n] == piece[k - 1 :])
         if local:
-            langs = np.array([lang_key(x) for x in words.langs], np.uint64)[lang]
-            # A part's key counts only where the phrase does not leave its piece: there all its words have one language.
-            parts = [_within(keys.value, phrase_key(langs[f : f + n], [h[f + x : f + x + n] for x in range(width)])) for keys, width, f in sets]
-            keep &= reduce(np.logical_and if every else np.logical_or, parts)
-        at = np.flatnonzero(keep)
+            parts = [_within(keys.value, phrase_key([h[f + x : f + x + n][at] for x in range(width)])) for keys, width, f in sets]
+            at = at[reduce(np.logical_and if every else np.logical_or, parts)]
         if len(at):
-            columns = [lang[at], *[h[x : x + n][at] for x in range(k)]]
+            columns = [h[x : x + n][at] for x in range(k)]
             found, counts = tally(columns)
-            yield from words.batches(columns[0][found], {**{c: v[found] for c, v in zip(_w(k), columns[1:], strict=True)}, "a": counts})
+            yield from _sliced({**{c: v[found] for c, v in zip(_w(k), columns, strict=True)}, "a": counts})
 
     def run(batches):
         words, hasher = Words(), Hasher(seed)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for raw, starts, ends, lang, piece in words.read(_texts(batches)):
-            held.append((lang, piece, hasher(raw, starts, ends)))
+        for data, starts, ends, lang, piece in words.read(_texts(batches)):
+            held.append((piece, words.hashes(hasher, data, starts, ends, lang)))
             size += len(lang)
             if size >= HELD:
                 columns = [np.concatenate(c) for c in zip(*held)]
-                yield from emit(words, *columns)
+                yield from emit(*columns)
                 # The last k - 1 words have begun no phrase yet.
                 held = [tuple(c[len(c) - k + 1 :] for c in columns)] if k > 1 else []
                 size = k - 1
         if held:
-            yield from emit(words, *[np.concatenate(c) for c in zip(*held)])
+            yield from emit(*[np.concatenate(c) for c in zip(*held)])
         trim()
 
-    parts = docs.select("lang", "text").mapInArrow(run, ", ".join(["lang string", *[f"{c} long" for c in _w(k)], "a long"]))
-    counted = parts.groupBy("lang", *_w(k)).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    parts = docs.select("lang", "text").mapInArrow(run, ", ".join([*[f"{c} long" for c in _w(k)], "a long"]))
+    counted = parts.groupBy(*_w(k)).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     if not local:
         kept = [w.among(counted, first) for w, first in wanted]
-        counted = reduce(lambda x, y: x.join(y.select("lang", *_w(k)), ["lang", *_w(k)], "left_semi"), kept) if every else reduce(DataFrame.unionByName, kept).dropDuplicates(["lang", *_w(k)])
+        counted = reduce(lambda x, y: x.join(y.select(*_w(k)), _w(k), "left_semi"), kept) if every else reduce(DataFrame.unionByName, kept).dropDuplicates(_w(k))
     return counted
 
 
@@ -293,30 +307,29 @@ def _lowest(*cuts: tuple[str, str]) -> str:
 
 def scored_pairs(counted: DataFrame, words: DataFrame) -> DataFrame:
     """Two-word phrases with l, r, score and bound."""
-    one = lambda w, f: words.select("lang", F.col("h").alias(w), F.col("a").alias(f))
-    both = counted.join(one("w1", "l"), ["lang", "w1"]).join(one("w2", "r"), ["lang", "w2"])
+    both = counted.join(words.select("lang", F.col("h").alias("w1"), F.col("a").alias("l")), "w1").join(words.select(F.col("h").alias("w2"), F.col("a").alias("r")), "w2")
     return both.select("lang", "w1", "w2", "a", "l", "r", F.expr(score_sql("a", "l + r")).alias("score"), F.expr(score_sql("a", "l + a")).alias("bound"))
 
 
 def scored_triples(counted: DataFrame, pairs: DataFrame) -> DataFrame:
     """Three-word phrases with the counts f1 and f12 of their beginnings, and l, r, score, bound."""
     x = pairs.select("lang", "w1", "w2", F.col("l").alias("f1"), F.col("a").alias("f12"))
-    y = pairs.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f23"), F.col("r").alias("f3"))
-    both = counted.join(x, ["lang", "w1", "w2"]).join(y, ["lang", "w2", "w3"])
+    y = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f23"), F.col("r").alias("f3"))
+    both = counted.join(x, ["w1", "w2"]).join(y, ["w2", "w3"])
     both = both.withColumn("x", F.expr(_lowest(("f1", "f23"), ("f12", "f3"))))
     bound = F.expr(f"least({score_sql('a', 'f1 + a')}, {score_sql('a', 'f12 + a')})")
     return both.select("lang", *_w(3), "a", "f1", "f12", "x.l", "x.r", "x.score", bound.alias("bound"))
 
 
 def _longest_of(longer: DataFrame, k: int) -> DataFrame:
-    """(lang, w1..wk, m): the greatest count of the phrases one word longer that begin or end with these words."""
-    ends = [longer.select("lang", *[F.col(b).alias(a) for a, b in zip(_w(k), _w(k, first), strict=True)], "a") for first in (1, 2)]
-    return ends[0].unionByName(ends[1]).groupBy("lang", *_w(k)).agg(F.max("a").alias("m"))
+    """(w1..wk, m): the greatest count of the phrases one word longer that begin or end with these words."""
+    ends = [longer.select(*[F.col(b).alias(a) for a, b in zip(_w(k), _w(k, first), strict=True)], "a") for first in (1, 2)]
+    return ends[0].unionByName(ends[1]).groupBy(*_w(k)).agg(F.max("a").alias("m"))
 
 
 def _standing(phrases: DataFrame, longer: DataFrame, k: int, share: int) -> DataFrame:
     """The phrases in no longer one that has `share` of a hundred of their count or more. One word more is enough to look at: counts only fall."""
-    kept = phrases.join(_longest_of(longer, k), ["lang", *_w(k)], "left").where(f"m is null or CAST(m AS DECIMAL(20, 0)) * 100 < CAST(a AS DECIMAL(20, 0)) * {share}")
+    kept = phrases.join(_longest_of(longer, k), _w(k), "left").where(f"m is null or CAST(m AS DECIMAL(20, 0)) * 100 < CAST(a AS DECIMAL(20, 0)) * {share}")
     none = [F.lit(None).cast("long").alias(c) for c in _w(4)[k:]]
     return kept.select("lang", *_w(k), *none, "a", "l", "r", "score")
 
@@ -341,16 +354,16 @@ def _opened(docs: DataFrame, seed: int, pairs: DataFrame, cuts: DataFrame, least
     fours = counted(4, "fours", (front3, 3, 1), (best3, 3, 2))
 
     x = front3.select("lang", *_w(3), "f1", "f12", F.col("a").alias("f123"))
-    y = near_pairs.select("lang", F.col("w1").alias("w3"), F.col("w2").alias("w4"), F.col("a").alias("f34"), F.col("r").alias("f4"))
-    hoped = fours.join(x, ["lang", *_w(3)]).join(y, ["lang", "w3", "w4"])
+    y = near_pairs.select(F.col("w1").alias("w3"), F.col("w2").alias("w4"), F.col("a").alias("f34"), F.col("r").alias("f4"))
+    hoped = fours.join(x, _w(3)).join(y, ["w3", "w4"])
     # The first cut's rest may not have been counted yet: it occurs as often as the phrase at least.
     hoped = hoped.withColumn("most", F.expr(f"least({score_sql('a', 'f1 + a')}, {score_sql('a', 'f12 + f34')}, {score_sql('a', 'f123 + f4')})"))
     hoped = materialize(reach(hoped, "most"), "hoped")
-    rests = hoped.select("lang", *[F.col(b).alias(a) for a, b in zip(_w(3), _w(3, 2), strict=True)]).distinct()
-    open_ = materialize(rests.join(triples, ["lang", *_w(3)], "left_anti"), "rests")
-    known_rests = triples if open_.isEmpty() else triples.unionByName(counted(3, "more", (open_, 3, 1))).dropDuplicates(["lang", *_w(3)])
-    rest = known_rests.select("lang", *[F.col(a).alias(b) for a, b in zip(_w(3), _w(3, 2), strict=True)], F.col("a").alias("f234"))
-    best4 = hoped.join(rest, ["lang", *_w(3, 2)]).withColumn("x", F.expr(_lowest(("f1", "f234"), ("f12", "f34"), ("f123", "f4"))))
+    rests = hoped.select(*[F.col(b).alias(a) for a, b in zip(_w(3), _w(3, 2), strict=True)]).distinct()
+    open_ = materialize(rests.join(triples, _w(3), "left_anti"), "rests")
+    known_rests = triples if open_.isEmpty() else triples.unionByName(counted(3, "more", (open_, 3, 1))).dropDuplicates(_w(3))
+    rest = known_rests.select(*[F.col(a).alias(b) for a, b in zip(_w(3), _w(3, 2), strict=True)], F.col("a").alias("f234"))
+    best4 = hoped.join(rest, _w(3, 2)).withColumn("x", F.expr(_lowest(("f1", "f234"), ("f12", "f34"), ("f123", "f4"))))
     best4 = reach(best4.select("lang", *_w(4), "a", "x.l", "x.r", "x.score"), "score")
 
     found = _standing(best2, triples, 2, share).unionByName(_standing(best3, fours, 3, share)).unionByName(best4)
@@ -380,7 +393,7 @@ def mine(
     repeated rows count each time; a text of any length is read in parts of 1 MB, only single words longer than that
     whole; languages without candidates and empty tables have no rows; other input columns are ignored.
     """
-    base = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
     while True:
         words = materialize(word_counts(base, seed), "words")
         if distinct_hashes(words):
@@ -388,7 +401,7 @@ def mine(
         seed += 1
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     words = materialize(words.where(F.col("a") >= least), "frequent")
-    frequent = Wanted(words.select("lang", F.col("h").alias("w1")), 1)
+    frequent = Wanted(words.select(F.col("h").alias("w1")), 1)
     pairs = phrase_counts(base, seed, 2, [(frequent, 1), (frequent, 2)], every=True, least=least)
     pairs = materialize(scored_pairs(pairs, small_side(words)), "pairs")
     frequent.release()
@@ -408,9 +421,9 @@ def mine(
         size *= 4
 
     named = done
-    known = small_side(words.select("lang", "h", "word"))
+    known = small_side(words.select("h", "word"))
     for c in _w(4):
-        named = named.join(known.select("lang", F.col("h").alias(c), F.col("word").alias(f"{c}s")), ["lang", c], "left")
+        named = named.join(known.select(F.col("h").alias(c), F.col("word").alias(f"{c}s")), c, "left")
     named = named.withColumn("phrase", F.concat_ws(" ", *[f"{c}s" for c in _w(4)]))
     # First the best of each part of a language, then the best of those: no task gets all phrases of a language.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
@@ -423,7 +436,8 @@ def mine(
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: Every phrase counted, every cut scored, every part of every longer candidate compared.
 SQL = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?
--]')) AS p FROM documents),
+-
+]')) AS p FROM documents),
 w AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM p),
 i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 g AS (SELECT lang, w[i:i + k - 1] AS ws, k FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),

@@ -87,18 +87,20 @@ def test_numbers_past_64_bits(spark):
     df = spark.createDataFrame([(9 * 10**15, 9 * 10**15 + 7, 2 * 10**16), (2**62, 2**62, 2**62 - 1), (30, 31, 10**18)], "a long, l long, r long")
     got = [r[0] for r in df.selectExpr(C.score_sql("a", "l + r")).collect()]
     assert got == [2_000_000 * a // (b + c) for a, b, c in [(9 * 10**15, 9 * 10**15 + 7, 2 * 10**16), (2**62, 2**62, 2**62 - 1), (30, 31, 10**18)]]
-    longer = spark.createDataFrame([("x", 1, 2, 3, 2**62)], "lang string, w1 long, w2 long, w3 long, a long")
+    longer = spark.createDataFrame([("x", 1, 2, 3, 2**62)], "lang string, w1 long, w2 long, w3 long, a long").drop("lang")
     short = spark.createDataFrame([("x", 1, 2, 2**62 + 2**60, 1, 1, 1), ("x", 2, 3, 2**62 + 2**60 + 1, 1, 1, 1)], "lang string, w1 long, w2 long, a long, l long, r long, score long")
     assert [r["w1"] for r in C._standing(short, longer, 2, 80).collect()] == [2]
 
 
 def test_hashes(spark):
     a, b = C.Hasher(1), C.Hasher(2)
-    raw = np.frombuffer(b"one two one " + b"z" * 70_000, np.uint8)
-    starts, ends = np.array([0, 4, 8, 12]), np.array([3, 7, 11, 70_012])
-    assert len(set(a(raw, starts, ends).tolist())) == 3 and not set(a(raw, starts, ends).tolist()) & set(b(raw, starts, ends).tolist())
+    data = b"one two one " + b"z" * 70_000 + b" " + b"y" * 40 + b"a " + b"y" * 40 + b"b"
+    starts, ends = (np.array(x) for x in zip(*[m.span() for m in re.finditer(rb"[a-z]+", data)]))
+    assert len(set(a(data, starts, ends).tolist())) == 5 and not set(a(data, starts, ends).tolist()) & set(b(data, starts, ends).tolist())
+    assert a(data, starts, ends).tolist() == [a(data[x:y], np.array([0]), np.array([y - x]))[0] for x, y in zip(starts, ends)]
     clash = spark.createDataFrame([("en", 5, "x", 1), ("de", 5, "y", 1)], "lang string, h long, word string, a long")
-    assert not C.distinct_hashes(clash) and C.distinct_hashes(clash.where("lang = 'en'"))
+    other = spark.createDataFrame([("en", 5, "x", 1), ("en", 5, "y", 1)], clash.schema)
+    assert not C.distinct_hashes(clash) and not C.distinct_hashes(other) and C.distinct_hashes(clash.where("lang = 'en'"))
     cols = [np.array([1, 1, 2, 1]), np.array([7, 7, 7, 8])]
     at, n = C.tally(cols)
     assert sorted(zip(cols[0][at].tolist(), cols[1][at].tolist(), n.tolist())) == [(1, 7, 2), (1, 8, 1), (2, 7, 1)]
