@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Patterns and word lists that decide which words match.
@@ -14,6 +17,7 @@ BOILERPLATE = (
     "(?i)all rights reserved|creative commons|conflicts? of interest|no competing interests|data (?:are|is) available|"
     "informed consent|institutional review board|statistically significant"
 )
+NUMERAL = r"^[0-9]+(?:[.,][0-9]+)*$"
 DOI = r"10\.[0-9]{4,9}/[^\s<>\"]+"
 STOPWORDS = (
     "a an and are as at be been being but by can could did do does done for from had has have having he her hers him his how i "
@@ -34,6 +38,28 @@ def words(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(pattern), F.lit(0))
 
 
+#: Characters of words, or unknown to the JVM, that fold() does not turn into what compatibility normalisation and full case folding give, or may not.
+UNUSUAL = r"[\p{L}\p{N}\p{M}\p{Cn}&&[^A-Za-z0-9À-ÖØ-öø-ÿ]]"
+
+
+def exact_words(text: Column, pattern: str = WORD) -> Column:
+    """words() with every word in NFKC and fully case-folded.
+
+    Only texts with a character beyond ASCII and the Latin letters up to ÿ leave the native path, in Arrow batches.
+    """
+
+    @F.pandas_udf("array<string>")
+    def normal(texts: pd.Series) -> pd.Series:
+        import regex
+
+        find = regex.compile(pattern).findall
+        fold_one = lambda w: unicodedata.normalize("NFKC", w).casefold().replace("’", "'")
+        return texts.map(lambda t: None if t is None else [fold_one(w) for w in find(t)])
+
+    unusual = text.rlike(UNUSUAL)
+    return F.when(unusual, normal(F.when(unusual, text))).otherwise(words(text, pattern))
+
+
 def fingerprint(text: Column) -> Column:
     """SHA-256 of the words joined by blanks: equal for texts that differ in spacing and marks only."""
     return F.sha2(F.array_join(words(text), " "), 256)
@@ -45,9 +71,10 @@ def ledger_hash(text: Column) -> Column:
 
 
 def numeric_prefix(a: Column, b: Column) -> Column:
-    """How many leading characters two different numerals share, if a decimal mark is among them, else 0."""
+    """How many leading characters two different numerals share, if a decimal mark is among them, else 0; 0 for other words."""
+    numerals = a.rlike(NUMERAL) & b.rlike(NUMERAL)
     same = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda k: a.substr(F.lit(1), k) == b.substr(F.lit(1), k)))
-    return F.when((a != b) & a.substr(F.lit(1), same).rlike("[.,]"), same).otherwise(0)
+    return F.when(numerals & (a != b) & a.substr(F.lit(1), same).rlike("[.,]"), same).otherwise(0)
 
 
 def is_content(w: Column, least: int = 3) -> Column:

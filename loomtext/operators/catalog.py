@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import difflib
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators.components import connected_components
+from loomtext.session import materialize
 
 
 def paper_groups(papers: DataFrame) -> DataFrame:
@@ -40,6 +43,62 @@ def resolve_references(refs: DataFrame, papers: DataFrame) -> DataFrame:
     return r.select("ref", F.coalesce("pd", "pt").alias("paper"), F.when(F.col("pd").isNotNull(), "doi").when(F.col("pt").isNotNull(), "title").otherwise("none").alias("how"))
 
 
+def title_pieces(title: Column) -> Column:
+    """The distinct runs of three characters of a title key with a blank at either end."""
+    padded = F.concat(F.lit(" "), title, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(title)), lambda k: padded.substr(k, F.lit(3))))
+
+
+def similar_titles(left: DataFrame, right: DataFrame, percent: int = 40) -> DataFrame:
+    """(x, y): distinct title keys of both sides (column `key`) whose piece sets have 100 * common >= percent * united.
+
+    Pieces are ranked from the rarest on. Two sets that agree so far share one of the first n - ceil(n * percent / 100) + 1
+    of either, and neither is more than 100 / percent times as large: only such pairs are compared in full. Equal keys
+    are taken once, so that a title of many papers joins as one.
+    """
+    sides = [df.where("key <> ''").select("key").distinct().withColumn("pieces", title_pieces(F.col("key"))).withColumn("n", F.size("pieces")) for df in (left, right)]
+    held = [materialize(s, "titles") for s in sides]
+    each = [s.select("key", "n", F.explode("pieces").alias("piece")) for s in held]
+    rank = each[0].unionByName(each[1]).groupBy("piece").agg(F.count(F.lit(1)).alias("c"))
+
+    def first(side: DataFrame, name: str, n: str) -> DataFrame:
+        ranked = side.join(rank, "piece").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "piece"))).alias("ps"))
+        few = F.slice("ps", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+        return ranked.select(F.col("key").alias(name), F.col("n").alias(n), F.explode(few).alias("p")).select(name, n, "p.piece")
+
+    alike = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    met = first(each[0], "x", "nx").join(first(each[1], "y", "ny"), "piece").where(alike).select("x", "y").distinct()
+    full = lambda s, name: s.select(F.col("key").alias(name), F.col("pieces").alias(f"p{name}"))
+    both = met.join(full(held[0], "x"), "x").join(full(held[1], "y"), "y")
+    common = F.size(F.array_intersect("px", "py"))
+    return both.where(100 * common >= percent * (F.size("px") + F.size("py") - common)).select("x", "y")
+
+
+def title_ratios(pairs: DataFrame) -> DataFrame:
+    """(x, y, ratio): twice the characters in matching blocks over all characters, blocks found from the longest on."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(ratio=[difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(pdf["x"], pdf["y"], strict=True)])
+
+    return pairs.select("x", "y").mapInPandas(run, "x string, y string, ratio double")
+
+
+def resolve_similar(refs: DataFrame, papers: DataFrame, percent: int = 40, least: float = 0.45) -> DataFrame:
+    """resolve_references() with a third stage: a reference without either goes to the paper of the closest title, as `similar`.
+
+    Titles are compared if they share enough pieces (similar_titles); the highest ratio of `least` or more wins, then the
+    smaller title, then the smallest id. A title that several papers have is a candidate like any other.
+    """
+    done = materialize(resolve_references(refs, papers), "resolved")
+    open_ = done.where("how = 'none'").join(refs.select("ref", T.title_key(F.col("title")).alias("x")), "ref").where("x <> ''")
+    ids = papers.select(T.title_key(F.col("title")).alias("y"), "id").where("y <> ''").groupBy("y").agg(F.min("id").alias("id"))
+    close = title_ratios(similar_titles(open_.select(F.col("x").alias("key")), ids.select(F.col("y").alias("key")), percent)).where(F.col("ratio") >= least)
+    best = close.join(ids, "y").groupBy("x").agg(F.min_by("id", F.struct(-F.col("ratio"), F.col("y"))).alias("near"))
+    found = open_.join(best, "x").select("ref", "near")
+    return done.join(found, "ref", "left").select("ref", F.coalesce("paper", "near").alias("paper"), F.when(F.col("near").isNotNull(), "similar").otherwise(F.col("how")).alias("how"))
+
+
 def latest(rows: DataFrame, key: str, order: str, tie: str) -> DataFrame:
     """The last row of every key (upsert result)."""
     w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(tie))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomtext.functions import text as T
-from loomtext.operators import ledger as L
+from loomtext.operators import ledger as L, structure as R
 
 
 def sources_of(benchmark: DataFrame) -> DataFrame:
@@ -52,16 +52,11 @@ def window_candidates(manuscripts: DataFrame, sources: DataFrame) -> DataFrame:
     return shingles(manuscripts, "m", "mlo").join(shingles(sources, "s", "slo"), "g").groupBy("m", "mlo", "s", "slo").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent, text): pieces ended by . ! or ? before a blank."""
-    return docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("sent", "text"))
-
-
 def sentence_candidates(manuscripts: DataFrame, sources: DataFrame, least: int = 3) -> DataFrame:
     """(m, msent, s, ssent, hits): sentences sharing at least `least` word pairs; a manuscript pair counts each time it stands there."""
 
     def pairs(docs: DataFrame, a: str, b: str) -> DataFrame:
-        w = sentences(docs).select(F.col("doc_id").alias(a), F.col("sent").alias(b), T.words(F.col("text")).alias("w")).where(F.size("w") >= 2)
+        w = R.sentences(docs).select(F.col("doc_id").alias(a), F.col("sent").alias(b), T.words(F.col("text")).alias("w")).where(F.size("w") >= 2)
         at = w.select(a, b, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("p"))
         return at.select(a, b, F.concat_ws(" ", F.col("w")[F.col("p")], F.col("w")[F.col("p") + 1]).alias("g"))
 

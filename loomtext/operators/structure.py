@@ -25,6 +25,9 @@ END_HEADING = (
 )
 CHAPTER_HEADING = r"(?i)^chapter\s+(?:\d+|[ivxlcdm]+)(?:\s*:\s*[^\n]{1,80})?\s*$"
 REFERENCE_START = r"^\s*(?:\[\d+\]|\d+[.)])\s+"
+#: Abbreviations after which a full stop ends no sentence; nor does one after a single capital.
+ABBREVIATIONS = "e.g i.e et al vs cf etc approx Fig Figs Eq No pp p Dr Prof Mr Ms Vol St"
+CLOSERS, OPENERS = r"[\"”’)\]]", r"[\"“(\[]"
 ABSTRACT_ALONE = r"(?i)^(?:\d+(?:\.\d+)*[.)]?\s+)?abstract\s*[:.]?$"
 ABSTRACT_INLINE = r"(?i)^(?:\d+(?:\.\d+)*[.)]?\s+)?abstract\s*(?::|\.|—|–|-)\s*\S"
 
@@ -36,6 +39,17 @@ def lines(docs: DataFrame) -> DataFrame:
     return at.withColumn("start", F.coalesce(before, F.lit(0)).cast("int"))
 
 
+def sentences(docs: DataFrame) -> DataFrame:
+    """(doc_id, sent, text): sentences in order, numbered from 0.
+
+    One ends at . ! or ? with its closing marks if blanks and then a capital or digit follow, perhaps behind an opening
+    mark, unless an abbreviation or a single capital stands before the full stop; and at blank lines.
+    """
+    short = r"(?:e\.g|i\.e|et al|" + "|".join(w for w in ABBREVIATIONS.split() if w.isalpha() and w not in ("et", "al")) + "|[A-Z])"
+    stop = rf"(?<=[.!?]{CLOSERS}{{0,9}})(?<!\b{short}\.{CLOSERS}{{0,9}})\s+(?={OPENERS}?[A-Z0-9])"
+    return docs.select("doc_id", F.posexplode(F.split("text", rf"\n[ \t]*\n|{stop}")).alias("sent", "text"))
+
+
 def strict_heading(s: Column) -> Column:
     return s.rlike(REFERENCE_HEADING) | s.rlike(COMMON_HEADING) | s.rlike(END_HEADING) | s.rlike(CHAPTER_HEADING)
 
@@ -112,9 +126,47 @@ def running_headers(pages: DataFrame) -> DataFrame:
 
 def long_quotes(tokens: DataFrame, spans: DataFrame, most: int = 3) -> DataFrame:
     """The (doc_id, s, e) quotation spans that hold more than `most` words of the ledger."""
-    t = tokens.select("doc_id", "start", "end")
-    inside = spans.join(t, "doc_id").where("start < e AND end > s").groupBy("doc_id", "s", "e").agg(F.count(F.lit(1)).alias("n"))
-    return inside.where(F.col("n") > most).select("doc_id", "s", "e")
+    from loomtext.operators.pairs import token_ranges
+
+    return token_ranges(tokens, spans, "s", "e").where(F.col("hi") - F.col("lo") > most).select("doc_id", "s", "e")
+
+
+def paragraphs_of(docs: DataFrame, places: DataFrame, most: int = 10_000) -> DataFrame:
+    """(doc_id, at, s, e): the paragraph around each place (doc_id, at), cut off `most` characters before and behind it.
+
+    A paragraph reaches from behind the last empty line that ends before the place to the next one at it or later. Both
+    are looked up in one sweep over places and empty lines each.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    x = lines(docs).withColumn("last", F.lead("line_no").over(order).isNull())
+    breaks = x.where((F.col("line") == "") & (F.col("line_no") > 0) & ~F.col("last")).select("doc_id", (F.col("start") - 1).alias("k"))
+    at = places.select("doc_id", F.col("at").cast("int").alias("at")).distinct().join(docs.select("doc_id", F.length("text").alias("length")), "doc_id")
+
+    def swept(shift: int, name: str, first: bool) -> DataFrame:
+        """The places with the nearest break before them, or the nearest one behind."""
+        rows = at.select("doc_id", F.col("at").alias("x"), "length", F.lit(None).cast("int").alias("k")).unionByName(breaks.select("doc_id", (F.col("k") + shift).alias("x"), F.lit(None).cast("int").alias("length"), "k"))
+        w = Window.partitionBy("doc_id").orderBy("x", F.col("k").isNull() if first else F.col("k").isNotNull())
+        near = F.max("k").over(w.rowsBetween(Window.unboundedPreceding, 0)) if first else F.min("k").over(w.rowsBetween(0, Window.unboundedFollowing))
+        return rows.withColumn(name, near).where("k is null").select("doc_id", F.col("x").alias("at"), "length", name)
+
+    both = swept(2, "before", True).join(swept(0, "behind", False).drop("length"), ["doc_id", "at"])
+    near_start = F.when(F.col("before") >= F.col("at") - most, F.col("before") + 2).otherwise(F.greatest(F.col("at") - most, F.lit(0)))
+    near_end = F.when(F.col("behind") + 2 <= F.col("at") + most, F.col("behind")).otherwise(F.least(F.col("at") + most, "length"))
+    return both.select("doc_id", "at", near_start.cast("int").alias("s"), near_end.cast("int").alias("e"))
+
+
+def uncertain_quotes(docs: DataFrame) -> DataFrame:
+    """(doc_id, s, e): what may be quoted but is not taken to be: paragraphs around doubtful marks, and lines indented by four blanks or more outside quotations.
+
+    Such spans are kept apart: nothing that they hold is excluded.
+    """
+    from loomtext.operators import align
+
+    around = paragraphs_of(docs, align.spans_of(docs, "doubtful").select("doc_id", F.col("s").alias("at"))).select("doc_id", "s", "e")
+    indented = lines(docs).where(F.col("line").rlike(r"^[ \t]{4,}[^\n]+$")).select("doc_id", F.col("start").alias("s"), (F.col("start") + F.length("line")).cast("int").alias("e"))
+    quoted = align.spans_of(docs, "quotation").select("doc_id", F.col("s").alias("qs"), F.col("e").alias("qe"))
+    outside = indented.join(quoted, (indented["doc_id"] == quoted["doc_id"]) & (F.col("qs") <= F.col("s")) & (F.col("e") <= F.col("qe")), "left_anti")
+    return around.unionByName(outside).distinct()
 
 
 def straight_quotes(docs: DataFrame) -> DataFrame:
@@ -125,12 +177,12 @@ def straight_quotes(docs: DataFrame) -> DataFrame:
     return parts.withColumn("b", before).withColumn("n", n).where("k % 2 = 1 AND k < n - 1").select("doc_id", (F.col("b") - 1).cast("int").alias("s"), (F.col("b") + F.length("part") + 1).cast("int").alias("e"))
 
 
-def ledger_with_masks(docs: DataFrame) -> DataFrame:
-    """Offset ledger with front, bibliography, quoted and eligible columns."""
+def ledger_with_masks(docs: DataFrame, joins: DataFrame | None = None) -> DataFrame:
+    """Offset ledger with front, bibliography, quoted and eligible columns; with `joins` (ledger.line_joins), broken words are one."""
     from loomtext.operators import score
 
     segs = segments(docs)
-    t = L.offset_ledger(docs)
+    t = L.offset_ledger(docs) if joins is None else L.joined_ledger(docs, joins)
     t = L.mask(t, bibliography(segs), "bibliography")
     t = L.mask(t, long_quotes(t, straight_quotes(docs)), "quoted")
     t = t.join(abstract_start(docs, segs), "doc_id", "left").withColumn("front", F.coalesce(F.col("start") < F.col("front_end"), F.lit(False))).drop("front_end")

@@ -53,6 +53,23 @@ def reference_resolution(spark, d):
     return C.resolve_references(refs, _papers(spark, d).where("id % 4 <> 1"))
 
 
+def _altered(spark, d):
+    """References to the papers whose titles have lost or changed letters, some beyond recognition."""
+    title = F.when(F.col("id") % 5 == 0, F.reverse("title")).when(F.col("id") % 3 == 0, F.regexp_replace("title", "[ae]", "")).otherwise(F.regexp_replace("title", "th", "zz"))
+    return _papers(spark, d).select(F.col("id").alias("ref"), F.when(F.col("id") % 7 == 0, F.col("doi")).alias("doi"), title.alias("title"))
+
+
+def title_candidates(spark, d):
+    """Pairs of an altered title and a paper's title that share enough pieces to be compared."""
+    key = lambda df: df.select(T.title_key(F.col("title")).alias("key"))
+    return C.similar_titles(key(_altered(spark, d)), key(_papers(spark, d)))
+
+
+def similar_reference_resolution(spark, d):
+    """References by DOI, else by an exact title of one paper, else by the closest title."""
+    return C.resolve_similar(_altered(spark, d), _papers(spark, d).where("id % 4 <> 1"))
+
+
 def library_search(spark, d):
     return C.search(_papers(spark, d), "THE", 20, 5).select("id", "title")
 
@@ -180,6 +197,10 @@ SELECT position, doi, CASE WHEN doi IS NULL THEN 'invalid' WHEN row_number() OVE
 v AS (SELECT component, list(url ORDER BY f)[1:3] AS urls FROM u GROUP BY component) SELECT component AS id, count(DISTINCT dk) AS n_dois, first(year ORDER BY id) FILTER (WHERE year IS NOT NULL) AS year, array_to_string(any_value(urls), ' ') AS urls, count(*) AS records FROM x JOIN v USING (component) GROUP BY component"""),
     "reference_resolution": (reference_resolution, f"""WITH {P}, s AS (SELECT * FROM q WHERE id % 4 <> 1), a AS (SELECT dk, min(id) AS pd FROM s GROUP BY dk), t AS (SELECT tk, min(id) AS pt FROM s WHERE tk <> '' GROUP BY tk HAVING count(*) = 1)
 SELECT q.id AS ref, coalesce(pd, pt) AS paper, CASE WHEN pd IS NOT NULL THEN 'doi' WHEN pt IS NOT NULL THEN 'title' ELSE 'none' END AS how FROM q LEFT JOIN a ON a.dk = q.dk AND q.id % 2 = 0 LEFT JOIN t ON t.tk = q.tk"""),
+    "title_candidates": (title_candidates, f"""WITH {P}, a AS (SELECT DISTINCT {K} AS t FROM (SELECT CASE WHEN id % 5 = 0 THEN reverse(title) WHEN id % 3 = 0 THEN regexp_replace(title, '[ae]', '', 'g') ELSE replace(title, 'th', 'zz') END AS title FROM p)),
+b AS (SELECT DISTINCT tk AS t FROM q), x AS (SELECT t, list_distinct(list_transform(range(1, length(t) + 1), lambda k: substring(' ' || t || ' ', k, 3))) AS g FROM a WHERE t <> ''), y AS (SELECT t, list_distinct(list_transform(range(1, length(t) + 1), lambda k: substring(' ' || t || ' ', k, 3))) AS g FROM b WHERE t <> '')
+SELECT x.t AS x, y.t AS y FROM x, y WHERE 100 * len(list_intersect(x.g, y.g)) >= 40 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))"""),
+    "similar_reference_resolution": (similar_reference_resolution, None),
     "library_search": (library_search, f"WITH {P} SELECT id, title FROM p WHERE instr(lower(title), 'the') > 0 OR instr(lower(doi), 'the') > 0 ORDER BY created_at DESC, id LIMIT 20 OFFSET 5"),
     "fifo_queue": (fifo_queue, f"WITH {P} SELECT id, created_at FROM p ORDER BY created_at, id LIMIT 50"),
     "newest_jobs": (newest_jobs, "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id LIMIT 15"),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.operators import overlap as O, score as S, structure as R
+from loomtext.functions import text as T
+from loomtext.operators import ledger as L, overlap as O, score as S, structure as R
 from loomtext.plans import structure_queries as B
-from loomtext.plans.overlap_queries import RUNS, SPANS, _docs, _shifted, _spans, _src, _words
+from loomtext.plans.overlap_queries import D, RUNS, SPANS, W, _docs, _shifted, _spans, _src, _words
 
 
 def quote_portions(spark, d):
@@ -40,6 +41,21 @@ def agreement_totals(spark, d):
     return c.groupBy().agg(F.sum("both").alias("both"), F.sum("reference_only").alias("reference_only"), F.sum("detector_only").alias("detector_only"), F.sum(recall).alias("recall_sum"), F.count(F.lit(1)).alias("sources"))
 
 
+def bridged_highlights(spark, d):
+    """Highlighted stretches of each manuscript's text: words of the same sources that only blanks part are one."""
+    docs = _docs(spark, d)
+    words = _words(spark, d).groupBy(F.col("m").alias("doc_id"), "pos").agg(F.array_join(F.array_sort(F.collect_set("s")), ",").alias("sources"))
+    t = L.offset_ledger(docs.join(words.select("doc_id").distinct(), "doc_id", "left_semi"))
+    spans = t.join(words, ["doc_id", "pos"]).select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), "sources")
+    return L.bridge(spans, docs, "sources")
+
+
+def disguised_fingerprints(spark, d):
+    """Fingerprints of texts whose letters were replaced by compatibility forms: those of the plain texts."""
+    text = F.replace(F.translate("text", "aAoO1", "ａＡｏＯ①"), F.lit("fi"), F.lit("ﬁ"))
+    return _docs(spark, d).select("doc_id", F.sha2(F.array_join(T.exact_words(text), " "), 256).alias("fingerprint"))
+
+
 def resume_remainder(spark, d):
     """Manuscript and source pairs that share nine words but have no finished checkpoint."""
     pairs = O.exact_runs(_docs(spark, d), _src(spark, d)).select("m", "s").distinct()
@@ -54,5 +70,13 @@ SELECT m, s, i, j, row_number() OVER (PARTITION BY m, s, i, j ORDER BY r) - 1 AS
     "agreement_totals": (agreement_totals, f"""WITH {SPANS}, a AS (SELECT DISTINCT m, s, unnest(range(lo, hi)) AS p, 1 AS r FROM sp), c AS (SELECT DISTINCT m, s, unnest(range(lo, hi)) AS p, 1 AS d FROM sh),
 t AS (SELECT s, count(*) FILTER (WHERE r = 1 AND d = 1) AS b, count(*) FILTER (WHERE d IS NULL) AS ro, count(*) FILTER (WHERE r IS NULL) AS dd FROM a FULL JOIN c USING (m, s, p) GROUP BY s)
 SELECT sum(b)::BIGINT AS both, sum(ro)::BIGINT AS reference_only, sum(dd)::BIGINT AS detector_only, sum(1000 * b // (b + ro))::BIGINT AS recall_sum, count(*) AS sources FROM t"""),
+    "bridged_highlights": (bridged_highlights, rf"""WITH {RUNS}, h AS (SELECT m, pos, array_to_string(list_sort(list(DISTINCT s)), ',') AS sources FROM pos GROUP BY m, pos),
+p AS (SELECT doc_id AS m, text, unnest(regexp_extract_all(text, '[^\p{{L}}\p{{N}}]*{W}')) AS piece, generate_subscripts(regexp_extract_all(text, '[^\p{{L}}\p{{N}}]*{W}'), 1) AS k FROM documents),
+o AS (SELECT m, text, k - 1 AS pos, (sum(length(piece)) OVER (PARTITION BY m ORDER BY k))::BIGINT AS e, length(regexp_extract(piece, '{W}$')) AS n FROM p),
+w AS (SELECT o.m, text, pos, e - n AS s, e, sources FROM o JOIN h USING (m, pos)),
+g AS (SELECT *, substring(text, lag(e) OVER x + 1, s - lag(e) OVER x) AS gap, lag(sources) OVER x AS last FROM w WINDOW x AS (PARTITION BY m ORDER BY s)),
+i AS (SELECT *, sum(CASE WHEN last = sources AND regexp_full_match(gap, '\s+') AND NOT contains(gap, chr(10) || chr(10)) THEN 0 ELSE 1 END) OVER (PARTITION BY m ORDER BY s) AS z FROM g)
+SELECT m AS doc_id, sources, min(s)::BIGINT AS s, max(e)::BIGINT AS e, count(*) AS n FROM i GROUP BY m, sources, z"""),
+    "disguised_fingerprints": (disguised_fingerprints, f"WITH {D} SELECT m AS doc_id, sha256(array_to_string(w, ' ')) AS fingerprint FROM d"),
     "resume_remainder": (resume_remainder, f"WITH {RUNS} SELECT DISTINCT m, s FROM runs WHERE (m + s) % 3 <> 0"),
 }

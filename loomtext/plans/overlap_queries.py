@@ -154,12 +154,6 @@ def _word_states(words, docs):
     return L.run_length(S.word_states(t), "state", by="m")
 
 
-def word_states_intervals(spark, d):
-    """Per-word states of the manuscripts that match a source, as intervals."""
-    words = _words(spark, d)
-    return _word_states(words, L.ledger(_docs(spark, d)).withColumnRenamed("doc_id", "m").join(words.select("m").distinct(), "m", "left_semi"))
-
-
 def word_states_all_intervals(spark, d):
     """Per-word states of every manuscript, whether it matches a source or not, as intervals."""
     return _word_states(_words(spark, d), L.ledger(_docs(spark, d)).withColumnRenamed("doc_id", "m"))
@@ -220,7 +214,7 @@ def evidence_groups(spark, d):
 
 def match_order(spark, d):
     """All matches in report order."""
-    return O.exact_runs(_docs(spark, d), _src(spark, d)).orderBy("m", "i", "s", "j").limit(100)
+    return O.exact_runs(_docs(spark, d), _src(spark, d)).orderBy("m", "i", "s", "j")
 
 
 def result_states(spark, d):
@@ -232,6 +226,17 @@ def result_states(spark, d):
     return t.select("m", state.alias("state"), S.score_kind(F.col("examined"), F.col("denominator"), limited).alias("score_kind"))
 
 
+def _sentence_sql(source: str, key: str, k: str, x: str) -> str:
+    """Word pairs of sentences: full stops of abbreviations and initials are hidden, then ends are marked and cut at."""
+    short = r"(\b(?:e\.g|i\.e|et al|vs|cf|etc|approx|Fig|Figs|Eq|No|pp|p|Dr|Prof|Mr|Ms|Vol|St|[A-Z]))\."
+    end, hidden, mark = r"""([.!?]["”’)\]]*)\s+(["“(\[]?[A-Z0-9])""".replace("'", "''"), "chr(2)", "chr(1)"
+    shut = f"regexp_replace(text, '{short}', '\\1' || {hidden}, 'g')"
+    cut = rf"regexp_replace(regexp_replace({shut}, '\n[ \t]*\n', {mark}, 'g'), '{end}', '\1' || {mark} || '\2', 'g')"
+    fold = FOLD.replace("text", f"replace(t, {hidden}, '.')")
+    return f"""{x}t AS (SELECT {key} AS {k}, unnest(string_split({cut}, {mark})) AS t, generate_subscripts(string_split({cut}, {mark}), 1) - 1 AS k FROM {source}),
+{x}s AS (SELECT {k}, k, regexp_extract_all({fold}, '{W}') AS w FROM {x}t), {x}g AS (SELECT {k}, k, w[p] || ' ' || w[p + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS p FROM {x}s))"""
+
+
 STATE_SQL = "SELECT m, count(DISTINCT s) AS examined FROM pos GROUP BY m"
 SPANS = RUNS + ", sp AS (SELECT m, s, i AS lo, i + n AS hi, j AS slo, j + n AS shi FROM runs), sh AS (SELECT m, s, lo + m % 4 AS lo, hi, slo + m % 4 AS slo, shi FROM sp WHERE hi - lo > 12)"
 QUERIES = {
@@ -263,7 +268,8 @@ bw AS (SELECT s, unnest(range(0, len(w), 96)) AS lo, w FROM b), bk AS (SELECT s,
 a AS (SELECT DISTINCT m, lo AS mlo, w[p] || ' ' || w[p + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS p FROM dk)),
 c AS (SELECT DISTINCT s, lo AS slo, w[p] || ' ' || w[p + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS p FROM bk))
 SELECT m, mlo, s, slo, count(*) AS hits FROM a JOIN c USING (g) GROUP BY ALL"""),
-    "sentence_pair_candidates": (sentence_pair_candidates, None),
+    "sentence_pair_candidates": (sentence_pair_candidates, f"""WITH {_sentence_sql('documents', 'doc_id', 'm', 'd')}, {_sentence_sql('benchmark', 'item_id', 's', 'b')}
+SELECT d.m, d.k AS msent, b.s, b.k AS ssent, count(*) AS hits FROM dg d JOIN (SELECT DISTINCT s, k, g FROM bg) b USING (g) GROUP BY ALL HAVING count(*) >= 3"""),
     "strong_anchor_pairs": (strong_anchor_pairs, f"""WITH {D}, {B}, a AS ({gram_sql(6, 'd', 'm', 'i')}), c AS ({gram_sql(6, 'b', 's', 'j')})
 SELECT m, s, i, j FROM a JOIN c USING (g) WHERE len(list_filter(string_split(g, ' '), lambda x: length(x) >= 4)) >= 2"""),
     "exact_runs": (exact_runs, f"WITH {RUNS} SELECT m, s, i, j, n FROM runs"),
@@ -275,11 +281,6 @@ e AS (SELECT r.m, r.s, r.i, r.j, c.ss FROM runs r JOIN c ON c.m = r.m AND c.pos
 SELECT m, s, i, j, count(*) FILTER (WHERE len(ss) >= 3) AS repeated_words, count(*) FILTER (WHERE len(ss) >= 3) >= 9 AS cross_source, len(list_distinct(flatten(list(ss)))) - 1 AS other_sources FROM e GROUP BY m, s, i, j"""),
     "matched_runs": (matched_runs, f"""WITH {RUNS}, u AS (SELECT DISTINCT m, pos FROM pos), g AS (SELECT m, pos, pos - row_number() OVER (PARTITION BY m ORDER BY pos) AS g FROM u)
 SELECT m, min(pos) AS lo, max(pos) + 1 AS hi FROM g GROUP BY m, g"""),
-    "word_states_intervals": (word_states_intervals, f"""WITH {RUNS}, u AS (SELECT DISTINCT m, pos FROM pos),
-t AS (SELECT dt.m, dt.i AS pos, CASE WHEN dt.i < 3 THEN 'front-matter' WHEN u.pos IS NOT NULL THEN 'exact' WHEN dt.m % 2 = 0 THEN 'unmatched' ELSE 'not-fully-checked' END AS state
-  FROM dt LEFT JOIN u ON u.m = dt.m AND u.pos = dt.i WHERE dt.m IN (SELECT m FROM u)),
-g AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY pos) - row_number() OVER (PARTITION BY m, state ORDER BY pos) AS g FROM t)
-SELECT m, state, min(pos) AS lo, max(pos) + 1 AS hi FROM g GROUP BY m, state, g"""),
     "word_states_all_intervals": (word_states_all_intervals, f"""WITH {RUNS}, u AS (SELECT DISTINCT m, pos FROM pos),
 t AS (SELECT dt.m, dt.i AS pos, CASE WHEN dt.i < 3 THEN 'front-matter' WHEN u.pos IS NOT NULL THEN 'exact' WHEN dt.m % 2 = 0 THEN 'unmatched' ELSE 'not-fully-checked' END AS state
   FROM dt LEFT JOIN u ON u.m = dt.m AND u.pos = dt.i),

@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from loomtext.plans import agreement_queries, catalog_queries, evidence_queries, library_queries, overlap_queries, stream_queries, structure_queries
+from loomtext.plans import agreement_queries, catalog_queries, evidence_queries, graph_queries, join_queries, library_queries, overlap_queries, stream_queries, structure_queries
 
 
 def _wide(query):
@@ -20,6 +20,6 @@ def _wide(query):
     return run
 
 
-_ALL = {**overlap_queries.QUERIES, **agreement_queries.QUERIES, **structure_queries.QUERIES, **evidence_queries.QUERIES, **catalog_queries.QUERIES, **library_queries.QUERIES, **stream_queries.QUERIES}
+_ALL = {**overlap_queries.QUERIES, **agreement_queries.QUERIES, **structure_queries.QUERIES, **evidence_queries.QUERIES, **graph_queries.QUERIES, **join_queries.QUERIES, **catalog_queries.QUERIES, **library_queries.QUERIES, **stream_queries.QUERIES}
 QUERIES = {name: _wide(query) for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}

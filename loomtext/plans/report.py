@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from loomtext.functions import text as T
-from loomtext.operators import align, ledger as L, overlap as O, score as S, structure as R
+from loomtext.operators import align, ledger as L, overlap as O, pairs as G, score as S, structure as R
 from loomtext.session import materialize
 
 MAX_MANUSCRIPT, MAX_SOURCE = 1_000_000, 2_000_000
@@ -51,7 +51,7 @@ def find(manuscripts: DataFrame, sources: DataFrame, model: str) -> DataFrame:
     if model == "improved":
         return align.graph(manuscripts, sources).select(*cols)
     if model == "classified":
-        sent = O.sentences(manuscripts).select(F.col("doc_id").alias("m"), F.col("sent").alias("msent"), F.size(T.words(F.col("text"))).alias("k"))
+        sent = R.sentences(manuscripts).select(F.col("doc_id").alias("m"), F.col("sent").alias("msent"), F.size(T.words(F.col("text"))).alias("k"))
         from pyspark.sql import Window
 
         at = F.coalesce(F.sum("k").over(Window.partitionBy("m").orderBy("msent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -61,14 +61,30 @@ def find(manuscripts: DataFrame, sources: DataFrame, model: str) -> DataFrame:
     raise ValueError(f"model is one of {', '.join(MODELS)}")
 
 
-def compare(manuscripts: DataFrame, sources: DataFrame, model: str = "improved", excluded: DataFrame | None = None) -> Report:
+def _units(tokens: DataFrame, docs: DataFrame) -> G.Side:
+    """The units of a side's tokens (doc_id, pos, w, start, end, ok, skipped): its author-year citations count whole, its other citations match nothing."""
+    tokens = L.mask(tokens, align.spans_of(docs, "full-citation"), "cited")
+    return G.side(materialize(G.ledger_units(tokens, G.token_ranges(tokens, align.spans_of(docs, "unit"))), "units"))
+
+
+def improved(m: G.Side, s: G.Side, runs: DataFrame, budget: int | None) -> DataFrame:
+    """Exact runs, and the ordered matches that do not lie in one of them."""
+    found = G.matches(m, s, budget, fewest=4)
+    r = runs.select(F.col("m").alias("rm"), F.col("s").alias("rs"), F.col("mlo").alias("rlo"), F.col("mhi").alias("rhi"), (F.col("slo") - F.col("mlo")).alias("rshift"))
+    inside = F.expr("m = rm AND s = rs AND shift = rshift AND mlo >= rlo AND mhi <= rhi")
+    return runs.unionByName(found.join(r, inside, "left_anti").drop("shift"))
+
+
+def compare(manuscripts: DataFrame, sources: DataFrame, model: str = "improved", excluded: DataFrame | None = None, budget: int | None = G.C.BUDGET) -> Report:
     """Compare every manuscript with every source, both (doc_id, text).
 
     Front matter, bibliography and longer quotations of a manuscript, and the bibliography of a source, match nothing
     and leave the denominator as said in the accounting. Sources too long, null or equal to a manuscript keep a coverage
     row with the reason. Every manuscript and source keeps a row in its table whether it matched or not; a manuscript that is null or too
     long has no words there and the reason as its status. Sources in `excluded` (doc_id) are the user's own choice: they
-    are not compared and keep a coverage row that says so.
+    are not compared and keep a coverage row that says so. The improved model finds nothing across front matter or a
+    bibliography, lets longer quotations and citations only take up room, and takes equal author-year citations whole;
+    `budget` is what one group of its equal words may cost, None for all it takes.
     """
     size = F.length("text")
     skipped = manuscripts.where((size > MAX_MANUSCRIPT) | size.isNull()).select(F.col("doc_id").alias("m"), F.when(size.isNull(), "unavailable").otherwise("skipped-size-limit").alias("status"))
@@ -76,10 +92,21 @@ def compare(manuscripts: DataFrame, sources: DataFrame, model: str = "improved",
     usable = sources.where(size <= MAX_SOURCE).select("doc_id", "text")
     chosen = sources.select("doc_id").where("false") if excluded is None else excluded.select("doc_id").distinct()
     usable = usable.join(chosen, "doc_id", "left_anti")
-    ledger = materialize(R.ledger_with_masks(manuscripts), "ledger")
-    s_tokens = L.mask(L.offset_ledger(usable), R.bibliography(R.segments(usable)), "bibliography").withColumn("ok", ~F.col("bibliography"))
+    # Standard and classified words are put together by the evidence of all texts, the others' by each text's own.
+    shared = model in ("standard", "classified")
+    joins = lambda docs: L.line_joins(manuscripts.unionByName(usable)) if shared else L.line_joins(docs, "doc_id")
+    ledger = materialize(R.ledger_with_masks(manuscripts, joins(manuscripts)), "ledger")
+    s_tokens = L.mask(L.joined_ledger(usable, joins(usable)), R.bibliography(R.segments(usable)), "bibliography").withColumn("ok", ~F.col("bibliography"))
+    if model == "improved":
+        s_tokens = L.mask(s_tokens, R.long_quotes(s_tokens, R.straight_quotes(usable)), "skipped")
+    s_tokens = materialize(s_tokens, "source_ledger")
     same = O.identical(manuscripts, usable)
-    found = find(masked(ledger, "eligible", "m"), masked(s_tokens, "ok", "s"), model)
+    if model == "improved":
+        runs = materialize(find(masked(ledger, "eligible", "m"), masked(s_tokens.withColumn("ok", F.col("ok") & ~F.col("skipped")), "ok", "s"), "exact"), "runs")
+        m_tokens = ledger.withColumns({"ok": ~(F.col("front") | F.col("bibliography")), "skipped": F.col("quoted")})
+        found = improved(_units(m_tokens, manuscripts), _units(s_tokens, usable), runs, budget)
+    else:
+        found = find(masked(ledger, "eligible", "m"), masked(s_tokens, "ok", "s"), model)
     found = materialize(found.join(same, ["m", "s"], "left_anti"), "matches")
 
     words = found.select("m", "s", F.explode("places").alias("pos"), (F.col("kind") == "exact").alias("exact"))
