@@ -5,14 +5,23 @@ that at least MIN_SHARE of the labelled examples hold counts, whatever their lab
 term count times log((N + 1) / document frequency), of unit length in double precision. All examples lie in an inverted
 index: posting lists a term, cut at block borders, and the greatest weight of each term in each block. A text reads the
 blocks in the order of their bounds and stops when no further block can hold a nearer example than the k found, so the
-neighbours are exact. Their votes, weighted by squared cosine, with a little of the base rate, give a raw score; a
-monotone map fitted on the examples themselves, each scored by its neighbours without itself, makes it a share.
+neighbours are exact. Their votes, weighted by squared cosine, with a little of the base rate, give log-odds.
+
+A few words in a long text hardly move its cosine. So the examples also vote word by word: all that hold a beginning of
+the word (of three to eight letters, or the word itself; pairs of letters too in scripts without case), down to two
+examples. The most toxic beginning speaks for a word, and the log-odds of the three most toxic words, above the base
+rate, are added to those of the neighbours. A monotone map fitted on the examples themselves, each scored by the others
+without itself, makes the sum a share.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 from collections import Counter
+from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -22,6 +31,7 @@ from loomtext.llm.batches import map_texts, parts
 from loomtext.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
+PLAIN = re.compile(r"\w+")  # quicker; what it finds is a word, unless it has digits or underscores
 #: Labelled rows in the index, about; the vocabulary's terms, the rarest going first.
 SAMPLE_ROWS = 4096
 MAX_TERMS = 1 << 16
@@ -29,13 +39,23 @@ MAX_TERMS = 1 << 16
 MIN_SHARE = 0.01
 KEPT_WORDS = 500_000
 NEIGHBOURS = 16
-BLOCK = 512
-PRIOR = 0.02
+BLOCK = 2304  # two blocks at that many rows
+PRIOR = 0.2
+#: Words whose votes count, votes of the base rate beside theirs, and the longest part of a word that is told apart.
+WORDS = 3
+PULL = 4.0
+LONGEST = 32
+
+
+def words_of(text: str | None) -> list[str]:
+    """What WORD finds in the lower-cased text."""
+    found = PLAIN.findall((text or "").lower())
+    return found if all(map(str.isalpha, found)) else [w for f in found for w in ((f,) if f.isalpha() else WORD.findall(f))]
 
 
 def terms(text: str | None) -> Counter:
     found: Counter = Counter()
-    for word, n in Counter(WORD.findall((text or "").lower())).items():
+    for word, n in Counter(words_of(text)).items():
         for term in terms_of(word):
             found[term] += n
     return found
@@ -45,15 +65,42 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word[:5], "~" + word[:7]) if len(word) > 5 else (word,)
 
 
+def stems(word: str) -> list[str]:
+    """What the examples vote on for a word: its beginnings, itself, and pairs of letters where the script has no case."""
+    found = [word[:LONGEST] + "$", *[word[:k] for k in range(3, min(len(word), 9))]]
+    return found + [word[k : k + 2] for k in range(len(word) - 1)] if word == word.upper() else found
+
+
+def log_odds(p: float) -> float:
+    p = min(max(p, 1e-9), 1 - 1e-9)
+    return math.log(p / (1 - p))
+
+
+class Remembered(dict):
+    """What `make` gives for a word, kept until there are KEPT_WORDS words."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        found = self[word] = self.make(word)
+        return found
+
+
 class BlockMaxIndex:
     """Unit TF-IDF vectors of labelled examples as posting lists in blocks, with each term's greatest weight a block."""
 
-    def __init__(self, df: dict[str, int], n: int, examples: list[tuple[int, int, dict[int, int]]], base: float, block: int = BLOCK):
-        """df: document frequencies of the vocabulary among n examples, which are (id, label, counts by place in sorted(df))."""
+    def __init__(self, df: dict[str, int], n: int, examples: list[tuple[int, int, dict[int, int]]], base: float, block: int = BLOCK, votes: dict[str, tuple[int, int]] | None = None):
+        """df: document frequencies of the vocabulary among n examples, which are (id, label, counts by place in sorted(df)).
+        votes: by stem, how many examples hold it and how many of these are toxic."""
         self.place = {t: k for k, t in enumerate(sorted(df))}
         self.idf = np.log((n + 1) / np.array([df[t] for t in sorted(df)], np.float64))
         self.block, self.base, self.map = block, base, (np.zeros(0), np.zeros(0))
-        self.met: dict[str, tuple[int, ...]] = {}
+        self.votes = votes or {}
+        self.remember()
         vectors = [(i, y, *self.vector(c)) for i, y, c in examples]
         # Neighbours in a block share their heaviest term, which keeps the other blocks' bounds low.
         vectors.sort(key=lambda v: (int(v[2][v[3].argmax()]) if len(v[2]) else -1, v[0]))
@@ -75,22 +122,42 @@ class BlockMaxIndex:
             self.most[held] = np.maximum.reduceat(self.weight, first)
         self.most = self.most.reshape(len(df), self.blocks)
 
+    def remember(self) -> None:
+        place = self.place
+        self.met = Remembered(lambda word: tuple(place[t] for t in terms_of(word) if t in place))
+        lean = {t: self.leaning(*held) for t, held in self.votes.items()}
+        self.marked = Remembered(lambda word: max(map(lean.get, stems(word), repeat(0.0))))
+
     def __getstate__(self):
-        return self.__dict__ | {"met": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("met", "marked")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.remember()
+
+    def read(self, text: str | None) -> tuple[dict[int, int], float]:
+        """Counts of the vocabulary's terms in a text by their places, and what its words add to the log-odds."""
+        words = words_of(text)
+        at, n = np.unique(np.array(list(chain.from_iterable(map(self.met.__getitem__, words))), np.int64), return_counts=True)
+        return dict(zip(at.tolist(), n.tolist(), strict=True)), self.words_add(map(self.marked.__getitem__, set(words)))
 
     def counts(self, text: str | None) -> dict[int, int]:
-        """Counts of the vocabulary's terms in a text by their places; which terms a word has is remembered."""
-        found: dict[int, int] = {}
-        met, place = self.met, self.place
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            own = met.get(word)
-            if own is None:
-                if len(met) >= KEPT_WORDS:
-                    met.clear()
-                own = met[word] = tuple(place[t] for t in terms_of(word) if t in place)
-            for term in own:
-                found[term] = found.get(term, 0) + n
-        return found
+        return self.read(text)[0]
+
+    def leaning(self, n: int, ones: int) -> float:
+        """Log-odds above the base rate of a stem that n examples hold, of which so many are toxic; at least 0."""
+        if n < 2 or not ones:
+            return 0.0
+        return max(0.0, math.log((ones + PULL * self.base) / (n - ones + PULL * (1 - self.base))) - log_odds(self.base))
+
+    def leaning_without(self, word: str, y: int) -> float:
+        """That of a word by its most toxic stem, an example of the label y that has the word not voting."""
+        held = [self.votes[t] for t in stems(word) if t in self.votes]
+        return max([self.leaning(n - 1, ones - y) for n, ones in held], default=0.0)
+
+    @staticmethod
+    def words_add(leanings) -> float:
+        return math.fsum(heapq.nlargest(WORDS, leanings))
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted places of the terms and their weights, of unit length; a term that all examples hold may weigh nothing."""
@@ -114,9 +181,11 @@ class BlockMaxIndex:
             if bound[b] <= 0 or bound[b] * (1 + 1e-9) < least:
                 break
             start, end = self.borders[at * self.blocks + b], self.borders[at * self.blocks + b + 1]
-            size = end - start
-            posts = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-            scores = np.bincount(self.owner[posts], self.weight[posts] * np.repeat(x, size), self.block)
+            lists = [slice(*e) for e in zip(start.tolist(), end.tolist(), strict=True)]
+            owner, weight = (np.concatenate([a[p] for p in lists]) for a in (self.owner, self.weight))
+            scores = np.bincount(owner, weight * np.repeat(x, end - start), self.block)
+            if len(scores) > k:  # what is below the k-th of the block is not among the nearest
+                least = max(least, np.partition(scores, -k)[-k])
             near = np.flatnonzero((scores >= least) & (scores > 0))
             if len(near):
                 s, i, y = np.concatenate([best_s, scores[near]]), np.concatenate([best_i, self.ids[near + b * self.block]]), np.concatenate([best_y, self.labels[near + b * self.block]])
@@ -124,19 +193,20 @@ class BlockMaxIndex:
                 best_s, best_i, best_y = s[order], i[order], y[order]
         return list(zip(best_i.tolist(), best_s.tolist(), best_y.astype(int).tolist(), strict=True))
 
-    def raw(self, neighbours: list[tuple[int, float, int]]) -> float:
-        """Share of toxic votes, each of the weight of its squared cosine, the base rate having PRIOR votes more."""
+    def raw(self, neighbours: list[tuple[int, float, int]], added: float = 0.0) -> float:
+        """Log-odds of the share of toxic votes, each of the weight of its squared cosine, the base rate having PRIOR votes
+        more; `added` is what the words add."""
         total = sum(s * s for _, s, _ in neighbours)
-        return (sum(s * s * y for _, s, y in neighbours) + PRIOR * self.base) / (total + PRIOR)
+        return log_odds((sum(s * s * y for _, s, y in neighbours) + PRIOR * self.base) / (total + PRIOR)) + added
 
-    def score(self, neighbours: list[tuple[int, float, int]]) -> float:
-        """The calibrated share; the base rate without neighbours."""
-        if not neighbours or not len(self.map[0]):
+    def score(self, neighbours: list[tuple[int, float, int]], added: float = 0.0) -> float:
+        """The calibrated share; the base rate with neither neighbours nor words that add."""
+        if not (neighbours or added) or not len(self.map[0]):
             return self.base
-        return float(min(max(np.interp(self.raw(neighbours), *self.map), 0.0), 1.0))
+        return float(min(max(np.interp(self.raw(neighbours, added), *self.map), 0.0), 1.0))
 
     def nbytes(self) -> int:
-        """Bytes of the arrays that travel with the tasks."""
+        """Bytes of the arrays that travel with the tasks; the votes, two numbers a stem, come beside them."""
         return sum(a.nbytes for a in (self.idf, self.ids, self.labels, self.owner, self.weight, self.borders, self.most))
 
 
@@ -158,8 +228,9 @@ def fit(
     """The index of the labelled rows of docs: labels (id_col, label_col 0 or 1) joined on the id.
 
     At most about `sample` rows are used: with more, those whose hashed id falls under the fraction wanted. Term counts
-    are summed by Spark. What reaches the driver is the vocabulary, of at most MAX_TERMS terms, and the examples' counts
-    of them: about 16 bytes for each term of each example. Null ids and labels teach nothing; of several labels for an id
+    and votes are summed by Spark. What reaches the driver is the vocabulary, of at most MAX_TERMS terms, the examples'
+    counts of them, about 16 bytes for each term of each example, and the stems of two examples or more that lean to
+    toxic, at most MAX_TERMS of those that most toxic examples hold. Null ids and labels teach nothing; of several labels for an id
     the greatest holds; rows with equal ids and texts are one example; a labelled row without a term is an example that
     nothing is near; no labelled rows give an index without examples; other columns are ignored.
     """
@@ -172,9 +243,10 @@ def fit(
     def split(batches):
         for pdf in parts(batches):
             found = [terms(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [list(c) for c in found], "tf": [list(c.values()) for c in found]})
+            words = [list(dict.fromkeys(words_of(t))) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "words": words, "terms": [list(c) for c in found], "tf": [list(c.values()) for c in found]})
 
-    rows = materialize(base.join(marks, "id").mapInPandas(split, "id long, y int, terms array<string>, tf array<int>").dropDuplicates(["id", "terms", "tf"]), "examples")
+    rows = materialize(base.join(marks, "id").mapInPandas(split, "id long, y int, words array<string>, terms array<string>, tf array<int>").dropDuplicates(["id", "words", "terms", "tf"]), "examples")
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n:
         return BlockMaxIndex({}, 0, [], 0.0)
@@ -185,10 +257,19 @@ def fit(
     def known_terms(batches):
         for pdf in batches:
             pairs = [[(place[t], int(c)) for t, c in zip(ts, cs, strict=True) if t in place] for ts, cs in zip(pdf["terms"], pdf["tf"], strict=True)]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [[t for t, _ in p] for p in pairs], "tf": [[c for _, c in p] for p in pairs]})
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "words": pdf["words"], "terms": [[t for t, _ in p] for p in pairs], "tf": [[c for _, c in p] for p in pairs]})
 
-    kept = materialize(rows.mapInPandas(known_terms, "id long, y int, terms array<int>, tf array<int>"), "counts")
-    index = BlockMaxIndex(df, n, [(r["id"], r["y"], dict(zip(r["terms"], r["tf"], strict=True))) for r in kept.collect()], ones / n, block)
+    def all_stems(batches):
+        for pdf in batches:
+            for y, words in zip(pdf["y"], pdf["words"], strict=True):
+                yield pd.DataFrame({"stem": list(set().union(*map(stems, words)))}, dtype=object).assign(y=y)
+
+    kept = materialize(rows.mapInPandas(known_terms, "id long, y int, words array<string>, terms array<int>, tf array<int>"), "counts")
+    votes = rows.mapInPandas(all_stems, "stem string, y int").groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
+    votes = votes.where(f"n >= 2 AND ones * {n} > {ones} * (n - 1)").orderBy(F.desc("ones"), "n", "stem").limit(MAX_TERMS)
+    votes = {r["stem"]: (r["n"], r["ones"]) for r in votes.collect()}
+    examples = [(r["id"], r["y"], dict(zip(r["terms"], r["tf"], strict=True))) for r in kept.select("id", "y", "terms", "tf").collect()]
+    index = BlockMaxIndex(df, n, examples, ones / n, block, votes)
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def without_itself(batches):
@@ -196,7 +277,8 @@ def fit(
         for pdf in batches:
             found = [own.nearest(dict(zip(ts.tolist(), cs.tolist(), strict=True)), k + 1) for ts, cs in zip(pdf["terms"], pdf["tf"], strict=True)]
             others = [[x for x in f if x[0] != i][:k] for i, f in zip(pdf["id"], found, strict=True)]
-            yield pd.DataFrame({"y": pdf["y"], "raw": [own.raw(f) if f else None for f in others]})
+            added = [own.words_add(own.leaning_without(w, y) for w in words) for y, words in zip(pdf["y"], pdf["words"], strict=True)]
+            yield pd.DataFrame({"y": pdf["y"], "raw": [own.raw(f, a) if f or a else None for f, a in zip(others, added, strict=True)]})
 
     tried = kept.mapInPandas(without_itself, "y int, raw double").where("raw is not null").collect()
     index.map = rising_map(np.array([r["raw"] for r in tried]), np.array([r["y"] for r in tried], np.float64), index.base)
@@ -208,15 +290,16 @@ def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_co
 
     Returns one row per input row: id_col, score (0 to 1), predicted (1 if score >= 0.5) and evidence (the nearest
     examples as structs of id, cosine and label, nearest first, ties by id). A null or empty text, or one without a
-    vocabulary term, has no neighbours and the base rate as its score; a text of any length is one vector; repeated rows
+    vocabulary term, has no neighbours and, if no word of it leans to toxic, the base rate as its score; a text of any length is one vector; repeated rows
     each get a row; an empty table gives none; other columns, whatever their names, are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def make(texts):
         own = held.value
-        found = [own.nearest(own.counts(t), k) for t in texts]
-        return [own.score(f) for f in found], [[{"id": i, "cosine": c, "label": y} for i, c, y in f] for f in found]
+        read = [own.read(t) for t in texts]
+        found = [own.nearest(counts, k) for counts, _ in read]
+        return [own.score(f, added) for f, (_, added) in zip(found, read, strict=True)], [[{"id": i, "cosine": c, "label": y} for i, c, y in f] for f in found]
 
     fields = {"score": "double", "evidence": "array<struct<id:long,cosine:double,label:int>>"}
     done = map_texts(docs, {id_col: F.col(id_col)}, F.col(text_col).cast("string"), fields, make)

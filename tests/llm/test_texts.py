@@ -247,3 +247,31 @@ def test_toxicity(spark, docs):
     nothing = toxicity.fit(docs([]), labels)
     assert toxicity.score(docs([(1, "word")]), nothing).first()["predicted"] == 0
     assert pd.DataFrame(toxicity.score(docs([]), index).collect()).empty
+
+
+def test_toxic_words_in_long_texts(spark, docs):
+    """One toxic word with an ending that no example has, or one pair of letters in a text without blanks, outweighs a long clean text."""
+    rng = random.Random(11)
+    pool = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(3000)]
+    ends = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou")) for _ in range(40)]
+    kanji = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+
+    def text(k, toxic, ends):
+        if k % 4 == 0:
+            words = [rng.choice(kanji) for _ in range(rng.randrange(20, 400))]
+            return "".join([*words[:15], *["死ね"] * toxic, *words[15:]])
+        words = [pool[min(int(rng.paretovariate(0.4)), 2999)] for _ in range(rng.randrange(20, 400))]
+        for _ in range(toxic):
+            words.insert(rng.randrange(len(words)), "vequ" + rng.choice(ends))
+        return " ".join(words)
+
+    rows = [(k, text(k, (k // 4) % 8 == 0, ends[:30])) for k in range(1600)]
+    index = toxicity.fit(docs(rows), spark.createDataFrame([(k, int((k // 4) % 8 == 0)) for k, _ in rows], "doc_id long, toxic int"))
+    new = [(k, text(k, k % 2, ends[30:])) if k % 4 else (k, text(k, (k // 4) % 2, ends)) for k in range(400)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(new), index).collect()}
+    for unspaced in (False, True):
+        own = [k for k in got if (k % 4 == 0) == unspaced]
+        toxic = [got[k] for k in own if (k // 4 if unspaced else k) % 2]
+        clean = sorted(got[k] for k in own if not (k // 4 if unspaced else k) % 2)
+        assert np.mean(np.array(toxic) > clean[int(0.9 * len(clean))]) >= 0.95
+        assert unspaced or np.mean(np.array(toxic) >= 0.5) >= 0.8
