@@ -5,7 +5,8 @@ every cell whose border it is near: a pair that a border parts lies, on one side
 that the threshold allows. Guests within all of it are taken, which makes the search exact. A `reach` below sqrt(dim)
 takes those within that many standard deviations of the distance for a random direction, and loses pairs of vectors that
 vary in few directions. Cells are split into blocks, and blocks meet in pairs, so no task holds
-more than two blocks and their products, whatever the size of a cell.
+more than two blocks and the products of a strip of one with the other, whatever the size of a cell. Products are taken
+in single precision first; what they may have rounded below the threshold is taken again in double precision.
 """
 
 from __future__ import annotations
@@ -21,7 +22,12 @@ from loomtext.session import materialize
 
 SAMPLE_ROWS = 20_000
 PER_CELL = 2000
-BLOCK = 2000
+#: Own vectors of a cell in a block; guests are dealt to blocks of GUESTS times as many, and meet them by strips.
+BLOCK = 4000
+GUESTS = 2
+STRIP = 1000
+#: Share of close pairs in a strip from which all its products are taken in double precision.
+DENSE = 0.02
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -43,6 +49,23 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def close(xa: np.ndarray, xb: np.ndarray, threshold: float):
+    """Pairs of unit rows with a double product of the threshold or more: (first row of a strip of xb, rows of xa, rows of the strip)."""
+    fa, fb = xa.astype(np.float32), xb.astype(np.float32)
+    least = np.float32(threshold - (xa.shape[1] + 8) * 2.0**-23)  # below it by more than single precision can err
+    for start in range(0, len(xb), STRIP):
+        part = xb[start : start + STRIP]
+        at = np.flatnonzero(fa @ fb[start : start + STRIP].T >= least)
+        if len(at) > DENSE * len(xa) * len(part):
+            at = np.flatnonzero(xa @ part.T >= threshold)
+        elif len(at):
+            few = max(1, (1 << 22) // xa.shape[1])
+            pieces = (np.divmod(at[k : k + few], len(part)) for k in range(0, len(at), few))
+            at = at[np.concatenate([np.einsum("ij,ij->i", xa[i], part[j]) for i, j in pieces]) >= threshold]
+        if len(at):
+            yield start, *np.divmod(at, len(part))
+
+
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, per_cell: int = PER_CELL,
     block: int = BLOCK, reach: float | None = None, sample: int = SAMPLE_ROWS,
@@ -87,19 +110,19 @@ def near_vectors(
                 near = off <= gap * (1.0 if reach is None else min(1.0, reach / math.sqrt(dim))) + 1e-12
                 near[np.arange(len(x)), home] = False
                 for k in range(len(x)):
-                    out.append((part["rep"].iloc[k], part["c"].iloc[k], dim, int(home[k]), np.flatnonzero(near[k]).astype(np.int32), x[k]))
+                    out.append((part["rep"].iloc[k], part["c"].iloc[k], dim, int(home[k]), np.flatnonzero(near[k]).astype(np.int32), x[k].tobytes()))
             yield pd.DataFrame(out, columns=["rep", "c", "dim", "home", "guests", "x"])
 
-    placed = materialize(reps.mapInPandas(assign, "rep long, c long, dim int, home int, guests array<int>, x array<double>"), "placed")
+    placed = materialize(reps.mapInPandas(assign, "rep long, c long, dim int, home int, guests array<int>, x binary"), "placed")
     # A cell's own vectors are dealt to blocks 0, 1, ... and its guests to blocks -1, -2, ...; a group is a pair of
     # blocks (p, q): two of its own with p <= q, or one of its own and one of guests.
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    def blocks(df: DataFrame, name: str, rows: int) -> DataFrame:
+        return df.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
     at_home = placed.withColumn("cell", F.col("home"))
     visiting = placed.withColumn("cell", F.explode("guests"))
     # One row a cell: their number is bounded by the number of centres.
-    cells = materialize(blocks(at_home, "blocks").join(blocks(visiting, "gblocks"), ["dim", "cell"], "left").na.fill(0, ["gblocks"]), "cells")
+    cells = materialize(blocks(at_home, "blocks", block).join(blocks(visiting, "gblocks", GUESTS * block), ["dim", "cell"], "left").na.fill(0, ["gblocks"]), "cells")
     homes = at_home.join(F.broadcast(cells), ["dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
     guests = visiting.join(F.broadcast(cells), ["dim", "cell"]).withColumn("own", -1 - F.pmod(F.xxhash64("rep", F.lit(2)), F.col("gblocks")).cast("int"))
     meet = F.expr(
@@ -116,29 +139,30 @@ def near_vectors(
         a, b = (pdf[pdf["own"] == side].reset_index(drop=True) for side in (p, q))
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": [], "n": [], "to": []})
-        xa, xb = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
-        ca, cb = a["c"].to_numpy(), b["c"].to_numpy()
-        near = xa @ xb.T >= threshold
-        if p == q:
-            near = np.triu(near, 1)
-        elif q < 0:  # also found in the guest's own cell if the host is a guest there: counted in the smaller cell
-            own, at = np.unique(b["home"].to_numpy(), return_inverse=True)
-            again = np.stack([np.isin(own, g) for g in a["guests"]])
-            near &= ~(again & (own <= cell))[:, at]
-        na, nb = near @ cb, ca @ near
-        # The smallest vector that links within these blocks reach: labels spread over the links until none changes.
-        la, lb, top = ra.copy(), rb.copy(), np.iinfo(np.int64).max
-        for block in iter(lambda: (la.sum(), lb.sum()), None):
-            lb = np.minimum(lb, np.where(near, la[:, None], top).min(axis=0))
-            la = np.minimum(la, np.where(near, lb[None, :], top).min(axis=1))
+        xa, xb = (np.frombuffer(b"".join(side["x"]), np.float64).reshape(len(side), -1) for side in (a, b))
+        home = b["home"].to_numpy()
+        host = np.zeros((len(a), max(home.max(), max(map(max, filter(len, a["guests"])), default=0)) + 1), bool)
+        host[np.repeat(np.arange(len(a)), a["guests"].map(len)), np.concatenate(a["guests"].to_numpy()).astype(np.int64)] = True
+        ids, c = ((a[k].to_numpy() if p == q else np.concatenate([a[k], b[k]])) for k in ("rep", "c"))
+        out = [pd.DataFrame({"rep": [], "n": [], "to": []})]
+        for start, i, j in close(xa, xb, threshold):
+            j = j + start
             if p == q:
-                la = lb = np.minimum(la, lb)
-            if (la.sum(), lb.sum()) == block:
-                break
-        out = pd.DataFrame({"rep": np.concatenate([ra, rb]), "n": np.concatenate([na, nb]), "to": np.concatenate([la, lb])})
-        out = out[out["n"] > 0]
-        return out.groupby("rep", as_index=False).agg({"n": "sum", "to": "min"}) if p == q else out
+                new = i < j
+            elif q < 0:  # also found in the guest's own cell if the host is a guest there: counted in the smaller cell
+                new = ~(host[i, home[j]] & (home[j] <= cell))
+            else:
+                new = np.ones(len(i), bool)
+            i, j = i[new], j[new] + (0 if p == q else len(a))
+            n = np.bincount(i, c[j], len(ids)) + np.bincount(j, c[i], len(ids))
+            # The smallest vector that links within this strip reach: labels spread over the links until none changes.
+            to = ids.copy()
+            while ((least := np.minimum(to[i], to[j])) < np.maximum(to[i], to[j])).any():
+                np.minimum.at(to, i, least)
+                np.minimum.at(to, j, least)
+            at = np.flatnonzero(n)
+            out.append(pd.DataFrame({"rep": ids[at], "n": n[at].astype(np.int64), "to": to[at]}))
+        return pd.concat(out[1:] or out)
 
     found = materialize(dealt.groupBy("dim", "cell", "p", "q").applyInPandas(links, "rep long, n long, to long"), "links")
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("rep"), "component")

@@ -1,5 +1,6 @@
 """MinHash, line dedup, decontamination and embeddings against brute force, with nulls, ties, empty tables and clashing columns."""
 
+import math
 import random
 import re
 
@@ -230,3 +231,41 @@ def test_embeddings_in_few_directions_over_many_cells(spark):
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(df, per_cell=30).collect()}
     assert got == {i: int(n) for i, n in enumerate(near.sum(axis=1))}
+
+
+def test_close_pairs_beside_the_threshold():
+    """Single precision decides nothing: products a billionth above and below the threshold, in sparse, dense and short strips."""
+    rng = np.random.default_rng(5)
+    for dim, n, copies in ((64, 2300, 40), (3, 1500, 40), (700, 60, 60), (2, 1, 1)):
+        x = rng.normal(size=(n, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.normal(size=(2100, dim))
+        for k in range(copies):  # y[k] at a cosine of 0.9 and a little to x[k]
+            off = rng.normal(size=dim)
+            off -= (off @ x[k]) * x[k]
+            cosine = 0.9 + (-1) ** k * 1e-9
+            y[k] = cosine * x[k] + math.sqrt(1 - cosine**2) * off / np.linalg.norm(off)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        want = x @ y.T >= 0.9
+        assert [want[k, k] for k in range(copies)] == [k % 2 == 0 for k in range(copies)]
+        got = np.zeros_like(want)
+        for start, i, j in embed_dedup.close(x, y, 0.9):
+            assert not got[i, start + j].any() and len(set(zip(i.tolist(), j.tolist()))) == len(i)
+            got[i, start + j] = True
+        assert (got == want).all()
+
+
+def test_embeddings_over_strips(spark, monkeypatch):
+    """Chains and groups that reach over strips, blocks and cells, and guests that are hosts too, link and count once."""
+    monkeypatch.setattr(embed_dedup, "STRIP", 5)
+    rng = np.random.default_rng(6)
+    turn = np.arange(0, 3, 0.1)  # a chain whose neighbours are 0.1 apart
+    v = [np.concatenate([[np.cos(t), np.sin(t)], np.zeros(10)]) for t in turn] + [rng.normal(size=12) for _ in range(150)]
+    v += [v[40] + rng.normal(size=12) * 0.1 for _ in range(60)]
+    x = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = components(range(len(v)), zip(*np.nonzero(near)))
+    df = spark.createDataFrame([(i, [float(c) for c in u]) for i, u in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(df, per_cell=25, block=9).collect()}
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(v))}
