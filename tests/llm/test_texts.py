@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -275,3 +277,68 @@ def test_toxic_words_in_long_texts(spark, docs):
         clean = sorted(got[k] for k in own if not (k // 4 if unspaced else k) % 2)
         assert np.mean(np.array(toxic) > clean[int(0.9 * len(clean))]) >= 0.95
         assert unspaced or np.mean(np.array(toxic) >= 0.5) >= 0.8
+
+
+def test_neighbours_by_matrix_and_lists(spark):
+    """The same neighbours as plain cosines where few terms stand in matrices, over blocks, copies tied and a huge count too;
+    many texts at once take less of a task's CPU time than walking the posting lists text by text."""
+    rng = np.random.default_rng(5)
+    drawn = [dict(Counter(np.minimum(rng.zipf(1.25, 400), 3000).tolist())) for _ in range(2200)]
+    examples = [(i, int(i % 7 == 0), {t - 1: n for t, n in c.items()}) for i, c in enumerate(drawn[:2000])]
+    examples += [(5000 - i, y, c) for i, y, c in examples[:40]] + [(3, 0, {7: 2, 2998: 1})] + [(6000, 1, {0: 1 << 25, 5: 3}), (6001, 0, {})]
+    held = Counter(t for _, _, c in examples for t in c)
+    df = {f"{t:04}": held[t] for t in range(3000)}  # a place is the number itself
+
+    def measure(cells, block):
+        index = toxicity.NeighbourIndex({t: max(n, 1) for t, n in df.items()}, len(examples), examples, 0.1, block, cells=cells)
+        dense = np.zeros((len(examples), len(df)))
+        for e, (_, _, c) in enumerate(examples):
+            dense[e, list(c)] = list(c.values())
+        dense *= index.idf
+        dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+        lists = [(np.flatnonzero(col), col[np.flatnonzero(col)]) for col in dense.T]
+        asked = [index.vector(np.array([t - 1 for t in c]), np.array(list(c.values()))) for c in drawn[1900:]] + [index.vector(np.array([0, 9]), np.array([7, 1]))]
+        index.nearest(asked[:1])
+        began = time.process_time()
+        got = index.nearest(asked)
+        own, want = time.process_time() - began, []
+        began = time.process_time()
+        for at, x in asked:
+            found = [lists[t] for t in at]
+            row, weight = np.concatenate([r for r, _ in found]), np.concatenate([w for _, w in found])
+            want.append(np.bincount(row, weight * np.repeat(x, [len(r) for r, _ in found]), len(examples)))
+        return len(index.common), got, want, own / (time.process_time() - began)
+
+    ids = np.array([i for i, _, _ in examples])
+    for cells, block in ((1 << 22, 4608), (100_000, 700), (0, 4608)):
+        common, got, want, share = spark.sparkContext.parallelize([0], 1).map(lambda _, c=cells, b=block: measure(c, b)).first()
+        assert common == min(2999, cells // len(examples), sum(n > 0 for n in df.values()) - 1) and len(got) == len(want)
+        for near, cosines in zip(got, want, strict=True):
+            best = np.argsort(-cosines)[:16]
+            assert [s for _, s, _ in near] == pytest.approx(cosines[best].tolist(), abs=1e-12)
+            assert near == sorted(near, key=lambda f: (-f[1], f[0])) and all(np.abs(cosines[ids == i] - s).min() < 1e-12 for i, s, _ in near)
+        assert cells < 1 << 22 or share < 0.8, share
+
+
+def test_words_of_latin_texts():
+    """The quick way for Latin-1 finds what the expression finds, in every character."""
+    for text in [f"Ab{chr(c)}cÀ {chr(c)}" for c in range(0x3000)] + ["", "a1b_c²x ¼ ªº\x85ß\xa0Ÿ", "İI ΣΑΣ"]:
+        assert toxicity.words_of(text) == toxicity.WORD.findall(text.lower())
+    assert toxicity.words_of(None) == []
+
+
+def test_leaning_of_words():
+    """A word leans as its most toxic stem does, however it is found, and words are forgotten without a trace."""
+    rng = random.Random(8)
+    draw = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 13)))
+    votes = {s: (9, rng.randrange(10)) for s in {s for _ in range(60) for s in rng.sample(toxicity.stems(draw()), 1)} | {"死ね", "死ね$"}}
+    place = ["ab", "aabab", "~aababb", "bbé", "~ababab"]
+    index = toxicity.NeighbourIndex(dict.fromkeys(place, 2), 9, [], 0.2, votes=votes)
+    words = [draw() for _ in range(2000)] + ["死ね", "x死ね", "見死ね人", "ab"]
+    for _ in range(2):
+        assert [len(x) for x in index.read(None)[:2]] == [0, 0] and index.read("12")[2] == 0.0
+        for w in words:
+            at, n, added = index.read(w)
+            assert added == max(index.leaning(*votes.get(s, (0, 0))) for s in toxicity.stems(w))
+            assert [sorted(place)[k] for k in at] == sorted({t for t in toxicity.terms_of(w) if t in place}) and (n == 1).all()
+        index.met.forget()
