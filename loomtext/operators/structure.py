@@ -30,6 +30,9 @@ ABBREVIATIONS = "e.g i.e et al vs cf etc approx Fig Figs Eq No pp p Dr Prof Mr M
 CLOSERS, OPENERS = r"[\"”’)\]]", r"[\"“(\[]"
 ABSTRACT_ALONE = r"(?i)^(?:\d+(?:\.\d+)*[.)]?\s+)?abstract\s*[:.]?$"
 ABSTRACT_INLINE = r"(?i)^(?:\d+(?:\.\d+)*[.)]?\s+)?abstract\s*(?::|\.|—|–|-)\s*\S"
+#: A line of a table of contents, by the page number at its end; BARE_CONTENTS takes no line that a sentence ends within.
+CONTENTS = r"(?:\.{3,}|\s)\d+$"
+BARE_CONTENTS = r"(?s)^(?!.*\p{Ll}[.!?][\"”’)\]]*\s).*(?:\.{3,}|\s)\d+$"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -94,12 +97,15 @@ def references(docs: DataFrame, segs: DataFrame) -> DataFrame:
     return refs.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")).alias("ref_no"), raw.alias("raw"), F.when(doi != "", doi).alias("doi"))
 
 
-def abstract_start(docs: DataFrame, segs: DataFrame) -> DataFrame:
-    """(doc_id, front_end): offset of the first abstract heading before the references; documents without one have no row."""
+def abstract_start(docs: DataFrame, segs: DataFrame, contents: str = CONTENTS) -> DataFrame:
+    """(doc_id, front_end): offset of the first abstract heading before the references; documents without one have no row.
+
+    A heading alone in its line does not count if the line after it is one of a table of contents.
+    """
     letters = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0)))
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
     x = lines(docs).withColumn("s", F.trim("line")).withColumn("next", F.first(F.when(F.col("s") != "", F.col("s")), ignorenulls=True).over(order))
-    alone = F.col("s").rlike(ABSTRACT_ALONE) & (letters(F.coalesce("next", F.lit(""))) >= 6) & ~F.coalesce("next", F.lit("")).rlike(r"(?:\.{3,}|\s)\d+$")
+    alone = F.col("s").rlike(ABSTRACT_ALONE) & (letters(F.coalesce("next", F.lit(""))) >= 6) & ~F.coalesce("next", F.lit("")).rlike(contents)
     inline = F.col("s").rlike(ABSTRACT_INLINE) & (letters(F.col("s")) >= 7)
     limit = bibliography(segs).groupBy("doc_id").agg(F.min("s").alias("limit"))
     found = x.where(alone | inline).withColumn("at", F.col("start") + F.length("line") - F.length(F.ltrim("line"))).join(limit, "doc_id", "left")
@@ -177,7 +183,7 @@ def straight_quotes(docs: DataFrame) -> DataFrame:
     return parts.withColumn("b", before).withColumn("n", n).where("k % 2 = 1 AND k < n - 1").select("doc_id", (F.col("b") - 1).cast("int").alias("s"), (F.col("b") + F.length("part") + 1).cast("int").alias("e"))
 
 
-def ledger_with_masks(docs: DataFrame, joins: DataFrame | None = None) -> DataFrame:
+def ledger_with_masks(docs: DataFrame, joins: DataFrame | None = None, contents: str = CONTENTS) -> DataFrame:
     """Offset ledger with front, bibliography, quoted and eligible columns; with `joins` (ledger.line_joins), broken words are one."""
     from loomtext.operators import score
 
@@ -185,5 +191,5 @@ def ledger_with_masks(docs: DataFrame, joins: DataFrame | None = None) -> DataFr
     t = L.offset_ledger(docs) if joins is None else L.joined_ledger(docs, joins)
     t = L.mask(t, bibliography(segs), "bibliography")
     t = L.mask(t, long_quotes(t, straight_quotes(docs)), "quoted")
-    t = t.join(abstract_start(docs, segs), "doc_id", "left").withColumn("front", F.coalesce(F.col("start") < F.col("front_end"), F.lit(False))).drop("front_end")
+    t = t.join(abstract_start(docs, segs, contents), "doc_id", "left").withColumn("front", F.coalesce(F.col("start") < F.col("front_end"), F.lit(False))).drop("front_end")
     return t.withColumn("eligible", score.eligible(F.col("front"), F.col("bibliography"), F.col("quoted")))

@@ -35,7 +35,7 @@ def reference_entries(spark, d):
 
 def abstract_front_matter(spark, d):
     docs = _built(spark, d)
-    return R.abstract_start(docs, R.segments(docs))
+    return R.abstract_start(docs, R.segments(docs), R.BARE_CONTENTS)
 
 
 def mask_regions(spark, d):
