@@ -33,6 +33,11 @@ def reference_entries(spark, d):
     return R.references(docs, R.segments(docs)).select("doc_id", "ref_no", "doi", F.length("raw").cast("long").alias("n_chars"))
 
 
+def _masked(spark, d):
+    """The masked ledger of the built texts, whose line behind the abstract's heading is prose even if it ends in a number."""
+    return R.ledger_with_masks(_built(spark, d), contents=R.BARE_CONTENTS)
+
+
 def abstract_front_matter(spark, d):
     docs = _built(spark, d)
     return R.abstract_start(docs, R.segments(docs), R.BARE_CONTENTS)
@@ -44,7 +49,7 @@ def mask_regions(spark, d):
 
 
 def word_accounting(spark, d):
-    return S.accounting(R.ledger_with_masks(_built(spark, d)))
+    return S.accounting(_masked(spark, d))
 
 
 def boundary_regions(spark, d):
