@@ -61,7 +61,7 @@ def logical_view(spark, d):
     """Places of the words that are left when running text loses its front matter: first and last original place."""
     from pyspark.sql import Window
 
-    t = R.ledger_with_masks(_built(spark, d)).where(~F.col("front"))
+    t = _masked(spark, d).where(~F.col("front"))
     t = t.withColumn("logical", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
     return t.groupBy("doc_id").agg(F.max("logical").alias("last_logical"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
