@@ -44,7 +44,7 @@ def abstract_front_matter(spark, d):
 
 
 def mask_regions(spark, d):
-    t = R.ledger_with_masks(_built(spark, d))
+    t = _masked(spark, d)
     return L.run_length(t, "front", "bibliography", "quoted")
 
 

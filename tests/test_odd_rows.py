@@ -25,6 +25,6 @@ def held(spark, tmp_path):
     return check
 
 
-@pytest.mark.parametrize("name", ["abstract_front_matter", "word_accounting", "logical_view"])
+@pytest.mark.parametrize("name", ["abstract_front_matter", "word_accounting", "logical_view", "mask_regions"])
 def test_first_line_ends_in_a_number(held, name):
     held(name, documents=("doc_id long, text string", NUMBERED))
