@@ -28,3 +28,8 @@ def held(spark, tmp_path):
 @pytest.mark.parametrize("name", ["abstract_front_matter", "word_accounting", "logical_view", "mask_regions"])
 def test_first_line_ends_in_a_number(held, name):
     held(name, documents=("doc_id long, text string", NUMBERED))
+
+
+def test_endings_with_letters_of_two_bytes(held):
+    words = "ciónar ciónaró reelle reelleè tionen tioneñ tionens haüserne haüserné enblochesa enblochesä enblochesö überlanges überlangen"
+    held("ending_variants", benchmark=("item_id long, text string", [(1, words)]))
