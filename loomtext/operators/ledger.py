@@ -76,6 +76,26 @@ def grams(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text
     return at.select("doc_id", "pos", F.concat_ws(" ", *[F.col("w")[F.col("pos") + o] for o in range(k)]).alias("g"))
 
 
+def gram_counts(docs: DataFrame, ks: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, n_distinct, k): runs of k words of each document, all and different ones, where it has one.
+
+    A text's runs are counted in its own row; only those of texts that share their id meet in a shuffle.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    shared = small_side(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
+    same = texts["doc_id"].eqNullSafe(shared["doc_id"])
+    alone = texts.join(shared, same, "left_anti").select("doc_id", T.words(F.col("text")).alias("w"))
+    run = lambda k: lambda p: F.array_join(F.slice("w", p, k), " ")
+    different = lambda k: F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), run(k))))
+    each = [F.when(F.size("w") >= k, F.struct((F.size("w") - (k - 1)).cast("long").alias("n"), different(k).cast("long").alias("n_distinct"), F.lit(k).alias("k"))) for k in ks]
+    counts = alone.select("doc_id", F.explode(F.array(*each)).alias("x")).where("x is not null").select("doc_id", "x.*")
+    rest = texts.join(shared, same, "left_semi")
+    for k in ks:
+        met = grams(rest, k).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("g").alias("n_distinct"))
+        counts = counts.unionByName(met.withColumn("k", F.lit(k)))
+    return counts
+
+
 def windows(docs: DataFrame, size: int = 120, stride: int = 96, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lo, hi) overlapping word windows of each document; the last one reaches the end."""
     n = docs.select(F.col(id_col).alias("doc_id"), F.size(T.words(F.col(text_col))).alias("n")).where(F.col("n") >= least)

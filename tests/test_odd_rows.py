@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from loomtext.operators import ledger as L
 from loomtext.plans import registry
 
 from .test_oracles import rows
@@ -33,3 +34,16 @@ def test_first_line_ends_in_a_number(held, name):
 def test_endings_with_letters_of_two_bytes(held):
     words = "ciónar ciónaró reelle reelleè tionen tioneñ tionens haüserne haüserné enblochesa enblochesä enblochesö überlanges überlangen"
     held("ending_variants", benchmark=("item_id long, text string", [(1, words)]))
+
+
+def test_runs_of_texts_that_share_an_id(held):
+    texts = ["a b a b a b a b a b a b", "x", "", None, "it’s a Straße it's a strasse it's a"]
+    held("ngram_counts", documents=("doc_id long, text string", [*enumerate(texts), (0, "b a b a b c"), (0, None), (None, "p q r"), (None, "p q s p q r")]))
+
+
+def test_runs_are_counted_without_a_shuffle_of_texts(spark):
+    """No exchange takes more than ids: neither texts nor their runs."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b")], "doc_id long, text string")
+    plan = L.gram_counts(docs, (2, 3))._jdf.queryExecution().optimizedPlan().toString()
+    own = plan.split("Union")[1].split(":- Aggregate")[0]
+    assert "array_distinct" in own and "Aggregate [doc_id#" in own and sorted(map(tuple, L.gram_counts(docs, (2, 3)).collect())) == [(1, 1, 1, 3), (1, 2, 2, 2), (2, 1, 1, 2)]
