@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators.components import connected_components
@@ -43,35 +47,67 @@ def resolve_references(refs: DataFrame, papers: DataFrame) -> DataFrame:
     return r.select("ref", F.coalesce("pd", "pt").alias("paper"), F.when(F.col("pd").isNotNull(), "doi").when(F.col("pt").isNotNull(), "title").otherwise("none").alias("how"))
 
 
-def title_pieces(title: Column) -> Column:
-    """The distinct runs of three characters of a title key with a blank at either end."""
-    padded = F.concat(F.lit(" "), title, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(title)), lambda k: padded.substr(k, F.lit(3))))
+#: Title keys in a block of either side: two blocks meet in a task, and a key is sent once for each block of the other side.
+TITLES = 32_768
 
 
-def similar_titles(left: DataFrame, right: DataFrame, percent: int = 40) -> DataFrame:
+def title_pieces(title: str) -> set[str]:
+    """The distinct runs of three characters of a title key with a blank at either end."""
+    padded = f" {title} "
+    return {padded[k : k + 3] for k in range(len(title))}
+
+
+def alike(xs: list[str], ys: list[str], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each of xs, by its place, the places of those ys whose piece sets have 100 * common >= percent * united, as far as there are any."""
+    ids: dict[str, int] = {}
+    each = [[ids.setdefault(p, len(ids)) for p in title_pieces(y)] for y in ys]
+    sizes = np.array([len(e) for e in each])
+    held = np.fromiter((p for e in each for p in e), np.int64, sizes.sum())
+    where = np.repeat(np.arange(len(ys)), sizes)[np.argsort(held, kind="stable")]
+    lists = np.split(where, np.cumsum(np.bincount(held, minlength=len(ids)))[:-1])
+    for k, x in enumerate(xs):
+        own = title_pieces(x)
+        met = [lists[ids[p]] for p in own if p in ids]
+        if met:
+            common = np.bincount(np.concatenate(met), minlength=len(ys))
+            at = np.flatnonzero((100 + percent) * common >= percent * (len(own) + sizes))
+            if len(at):
+                yield k, at
+
+
+def similar_titles(left: DataFrame, right: DataFrame, percent: int = 40, most: int = TITLES) -> DataFrame:
     """(x, y): distinct title keys of both sides (column `key`) whose piece sets have 100 * common >= percent * united.
 
-    Pieces are ranked from the rarest on. Two sets that agree so far share one of the first n - ceil(n * percent / 100) + 1
-    of either, and neither is more than 100 / percent times as large: only such pairs are compared in full. Equal keys
-    are taken once, so that a title of many papers joins as one.
+    Both sides are dealt to blocks of at most about `most` keys, and blocks meet in pairs: a task counts the pieces that
+    a key of one has in common with all of the other, and what it finds is all that leaves it. Equal keys are taken once,
+    so that a title of many papers joins as one.
     """
-    sides = [df.where("key <> ''").select("key").distinct().withColumn("pieces", title_pieces(F.col("key"))).withColumn("n", F.size("pieces")) for df in (left, right)]
-    held = [materialize(s, "titles") for s in sides]
-    each = [s.select("key", "n", F.explode("pieces").alias("piece")) for s in held]
-    rank = each[0].unionByName(each[1]).groupBy("piece").agg(F.count(F.lit(1)).alias("c"))
-
-    def first(side: DataFrame, name: str, n: str) -> DataFrame:
-        ranked = side.join(rank, "piece").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "piece"))).alias("ps"))
-        few = F.slice("ps", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-        return ranked.select(F.col("key").alias(name), F.col("n").alias(n), F.explode(few).alias("p")).select(name, n, "p.piece")
-
-    alike = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    met = first(each[0], "x", "nx").join(first(each[1], "y", "ny"), "piece").where(alike).select("x", "y").distinct()
-    full = lambda s, name: s.select(F.col("key").alias(name), F.col("pieces").alias(f"p{name}"))
-    both = met.join(full(held[0], "x"), "x").join(full(held[1], "y"), "y")
-    common = F.size(F.array_intersect("px", "py"))
-    return both.where(100 * common >= percent * (F.size("px") + F.size("py") - common)).select("x", "y")
+    held = [materialize(df.where("key <> ''").select("key").distinct(), "titles") for df in (left, right)]
+    # No fewer than eight blocks of either side where there is much to do, so that the pairs are many tasks.
+    sizes = [s.count() for s in held]
+    blocks = [math.ceil(n / min(most, max(1000, math.ceil(n / 8)))) or 1 for n in sizes]
+    own = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = held[0].select(own(blocks[0]).alias("p"), every(blocks[1]).alias("q"), F.lit(0).alias("side"), "key")
+    sent = sent.unionByName(held[1].select(every(blocks[0]).alias("p"), own(blocks[1]).alias("q"), F.lit(1).alias("side"), "key"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sides: tuple[list[str], list[str]] = ([], [])
+        for pdf in batches:
+            for side in (0, 1):
+                sides[side].extend(pdf.loc[pdf["side"] == side, "key"])
+        xs, ys = sides
+        x: list[str] = []
+        y: list[str] = []
+        for k, at in alike(xs, ys, percent) if xs and ys else ():
+            x += [xs[k]] * len(at)
+            y += [ys[j] for j in at]
+            if len(x) >= 50_000:
+                yield pd.DataFrame({"x": x, "y": y})
+                x, y = [], []
+        yield pd.DataFrame({"x": x, "y": y}, dtype=object)
+
+    return sent.groupBy("p", "q").applyInPandas(meet, "x string, y string")
 
 
 def title_ratios(pairs: DataFrame) -> DataFrame:

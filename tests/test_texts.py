@@ -139,3 +139,15 @@ def test_uncertain_quotes(spark):
         got.setdefault(r["doc_id"], set()).add((r["s"], r["e"]))
     assert got == {k: plain_uncertain(t) for k, t in enumerate(texts) if plain_uncertain(t)}
     assert K.Quotations('A 5" pipe, the dogs\' bowl').doubtful == [] and K.Quotations('so ) " alone').doubtful == [5]
+
+
+def test_similar_titles_over_blocks(spark):
+    """Titles in many blocks, of letters beyond a code unit too, meet once each; no exchange takes pairs of titles."""
+    left, right = titles(3, 40) + ["a𝄞bc𝄞 d", "𝄞"], titles(4, 30) + titles(3, 5) + ["a𝄞bc𝄞 e", "𝄞"]
+    table = lambda ts: spark.createDataFrame([(t,) for t in ts], "key string")
+    found = C.similar_titles(table(left), table(right), 40, most=7)
+    got = [tuple(r) for r in found.collect()]
+    want = {(x, y) for x in left for y in right if x and y and 100 * len(pieces(x) & pieces(y)) >= 40 * len(pieces(x) | pieces(y))}
+    assert len(got) == len(set(got)) and set(got) == want and ("𝄞", "𝄞") in want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "array_intersect" not in plan
