@@ -4,9 +4,10 @@ Equal vectors are one class from the start. Each class vector lives in the cell
 every cell whose border it is near: a pair that a border parts lies, on one side at least, within half the distance
 that the threshold allows. Guests within all of it are taken, which makes the search exact. A `reach` below sqrt(dim)
 takes those within that many standard deviations of the distance for a random direction, and loses pairs of vectors that
-vary in few directions. Cells are split into blocks, and blocks meet in pairs, so no task holds
-more than two blocks and the products of a strip of one with the other, whatever the size of a cell. Products are taken
-in single precision first; what they may have rounded below the threshold is taken again in double precision.
+vary in few directions. Cells are packed into boxes, or split over several, and boxes meet in pairs: a vector is sent
+once for each box that has a cell in which it is a guest, or a guest in its cell, whatever their number there. No task
+holds more than two boxes and the products of a strip of one with the other, whatever the size of a cell. Products are
+taken in single precision first; what they may have rounded below the threshold is taken again in double precision.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomtext.operators.components import connected_components
 from loomtext.session import materialize
 
 SAMPLE_ROWS = 20_000
 PER_CELL = 2000
-#: Own vectors of a cell in a block; guests are dealt to blocks of GUESTS times as many, and meet them by strips.
-BLOCK = 4000
-GUESTS = 2
+#: Vectors in a box: about a SPREAD-th of all, but no fewer than LEAST_BLOCK, nor more than BLOCK or VALUES components.
+BLOCK = 32_768
+LEAST_BLOCK = 2000
+SPREAD = 12
+VALUES = 1 << 23
 STRIP = 1000
 #: Share of close pairs in a strip from which all its products are taken in double precision.
 DENSE = 0.02
@@ -53,9 +56,10 @@ def close(xa: np.ndarray, xb: np.ndarray, threshold: float):
     """Pairs of unit rows with a double product of the threshold or more: (first row of a strip of xb, rows of xa, rows of the strip)."""
     fa, fb = xa.astype(np.float32), xb.astype(np.float32)
     least = np.float32(threshold - (xa.shape[1] + 8) * 2.0**-23)  # below it by more than single precision can err
-    for start in range(0, len(xb), STRIP):
-        part = xb[start : start + STRIP]
-        at = np.flatnonzero(fa @ fb[start : start + STRIP].T >= least)
+    strip = max(1, min(STRIP, (1 << 23) // max(1, len(xa))))
+    for start in range(0, len(xb), strip):
+        part = xb[start : start + strip]
+        at = np.flatnonzero(fa @ fb[start : start + strip].T >= least)
         if len(at) > DENSE * len(xa) * len(part):
             at = np.flatnonzero(xa @ part.T >= threshold)
         elif len(at):
@@ -66,6 +70,18 @@ def close(xa: np.ndarray, xb: np.ndarray, threshold: float):
             yield start, *np.divmod(at, len(part))
 
 
+def spread(i: np.ndarray, j: np.ndarray, n: int, ids: np.ndarray) -> np.ndarray:
+    """Of each of n rows, the row of the smallest id reachable over the links i - j: labels spread until none changes."""
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    to = rank.copy()
+    while ((least := np.minimum(to[i], to[j])) < np.maximum(to[i], to[j])).any():
+        np.minimum.at(to, i, least)
+        np.minimum.at(to, j, least)
+    return order[to]
+
+
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, per_cell: int = PER_CELL,
     block: int = BLOCK, reach: float | None = None, sample: int = SAMPLE_ROWS,
@@ -94,6 +110,9 @@ def near_vectors(
         x = _unit([row["v"] for row in own.collect()] or [[1.0] * r["dim"]])
         centres[r["dim"]] = spherical_kmeans(x, max(1, min(1024, math.ceil(r["n"] / per_cell))))
 
+    # Vectors travel as they were given: single precision takes half the bytes of double.
+    form = np.float32 if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else np.float64
+    vectors_at = lambda x: _unit(np.frombuffer(b"".join(x), form).reshape(len(x), -1))
     gap = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
 
     def assign(batches):
@@ -110,61 +129,55 @@ def near_vectors(
                 near = off <= gap * (1.0 if reach is None else min(1.0, reach / math.sqrt(dim))) + 1e-12
                 near[np.arange(len(x)), home] = False
                 for k in range(len(x)):
-                    out.append((part["rep"].iloc[k], part["c"].iloc[k], dim, int(home[k]), np.flatnonzero(near[k]).astype(np.int32), x[k].tobytes()))
+                    out.append((part["rep"].iloc[k], part["c"].iloc[k], dim, int(home[k]), np.flatnonzero(near[k]).astype(np.int32), np.asarray(part["v"].iloc[k], form).tobytes()))
             yield pd.DataFrame(out, columns=["rep", "c", "dim", "home", "guests", "x"])
 
     placed = materialize(reps.mapInPandas(assign, "rep long, c long, dim int, home int, guests array<int>, x binary"), "placed")
-    # A cell's own vectors are dealt to blocks 0, 1, ... and its guests to blocks -1, -2, ...; a group is a pair of
-    # blocks (p, q): two of its own with p <= q, or one of its own and one of guests.
-    def blocks(df: DataFrame, name: str, rows: int) -> DataFrame:
-        return df.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-
-    at_home = placed.withColumn("cell", F.col("home"))
-    visiting = placed.withColumn("cell", F.explode("guests"))
-    # One row a cell: their number is bounded by the number of centres.
-    cells = materialize(blocks(at_home, "blocks", block).join(blocks(visiting, "gblocks", GUESTS * block), ["dim", "cell"], "left").na.fill(0, ["gblocks"]), "cells")
-    homes = at_home.join(F.broadcast(cells), ["dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
-    guests = visiting.join(F.broadcast(cells), ["dim", "cell"]).withColumn("own", -1 - F.pmod(F.xxhash64("rep", F.lit(2)), F.col("gblocks")).cast("int"))
-    meet = F.expr(
-        "concat(transform(sequence(0, own), p -> struct(p as p, own as q)), "
-        "transform(filter(sequence(0, blocks - 1), q -> q > own), q -> struct(own as p, q as q)), "
-        "transform(filter(sequence(0, gblocks), g -> g > 0), g -> struct(own as p, -g as q)))"
-    )
-    homes = homes.withColumn("g", F.explode(meet))
-    guests = guests.withColumn("g", F.explode(F.expr("transform(sequence(0, blocks - 1), p -> struct(p as p, own as q))")))
-    dealt = homes.unionByName(guests).select("dim", "cell", "g.p", "g.q", "own", "rep", "c", "home", "guests", "x")
+    whole = Window.partitionBy("dim")
+    # Cells are packed into boxes of about as many vectors, large ones dealt to several: one row a cell, so their number
+    # is bounded by the number of centres.
+    size = F.least(F.lit(block), F.greatest(F.lit(min(block, LEAST_BLOCK)), F.ceil(F.sum("n").over(whole) / SPREAD)), F.greatest(F.lit(1), F.floor(F.lit(VALUES) / F.col("dim"))))
+    cells = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("n")).withColumn("size", size)
+    cells = cells.withColumn("upto", F.sum("n").over(whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cells = materialize(cells.select("dim", "cell", F.floor((F.col("upto") - F.col("n")) / F.col("size")).cast("int").alias("first"), F.ceil(F.col("n") / F.col("size")).cast("int").alias("parts")), "cells")
+    held = F.broadcast(cells.withColumn("boxes", F.sequence("first", F.col("first") + F.col("parts") - 1)))
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    boxed = placed.join(held.withColumnRenamed("cell", "home"), ["dim", "home"]).withColumn("box", F.col("first") + part).drop("first", "parts", "boxes")
+    # Which cells each box has guests in. A vector meets the boxes of the cells that it is a guest in, and those that have
+    # guests in its own cell.
+    visits = materialize(boxed.select("dim", "box", F.explode("guests").alias("cell")).distinct(), "visits")
+    hosts = held.join(visits.groupBy("dim", "cell").agg(F.collect_set("box").alias("visitors")), ["dim", "cell"], "left")
+    hosts = materialize(hosts.select("dim", "cell", "boxes", F.coalesce("visitors", F.array().cast("array<int>")).alias("visitors")), "hosts")
+    lists = hosts.groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct("cell", "boxes"))).alias("m"), F.max("cell").alias("last"))
+    none = F.array().cast("array<int>")
+    lists = lists.select("dim", F.transform(F.sequence(F.lit(0), "last"), lambda g: F.coalesce(F.element_at("m", g), none)).alias("boxes_of"))
+    boxed = boxed.join(F.broadcast(hosts.select("dim", F.col("cell").alias("home"), F.concat("boxes", "visitors").alias("near"))), ["dim", "home"]).join(F.broadcast(lists), "dim")
+    meets = F.array_distinct(F.concat("near", F.flatten(F.transform("guests", lambda g: F.coalesce(F.get("boxes_of", g), none)))))
+    dealt = boxed.withColumn("other", F.explode(meets)).select("dim", F.least("box", "other").alias("p"), F.greatest("box", "other").alias("q"), F.col("box").alias("own"), "rep", "c", "x")
 
     def links(key, pdf):
-        _, cell, p, q = key
+        _, p, q = key
         a, b = (pdf[pdf["own"] == side].reset_index(drop=True) for side in (p, q))
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": [], "n": [], "to": []})
-        xa, xb = (np.frombuffer(b"".join(side["x"]), np.float64).reshape(len(side), -1) for side in (a, b))
-        home = b["home"].to_numpy()
-        host = np.zeros((len(a), max(home.max(), max(map(max, filter(len, a["guests"])), default=0)) + 1), bool)
-        host[np.repeat(np.arange(len(a)), a["guests"].map(len)), np.concatenate(a["guests"].to_numpy()).astype(np.int64)] = True
+        xa = vectors_at(a["x"])
+        xb = xa if p == q else vectors_at(b["x"])
         ids, c = ((a[k].to_numpy() if p == q else np.concatenate([a[k], b[k]])) for k in ("rep", "c"))
-        out = [pd.DataFrame({"rep": [], "n": [], "to": []})]
+        n, ties = np.zeros(len(ids), np.int64), []
         for start, i, j in close(xa, xb, threshold):
             j = j + start
             if p == q:
-                new = i < j
-            elif q < 0:  # also found in the guest's own cell if the host is a guest there: counted in the smaller cell
-                new = ~(host[i, home[j]] & (home[j] <= cell))
+                i, j = i[i < j], j[i < j]
             else:
-                new = np.ones(len(i), bool)
-            i, j = i[new], j[new] + (0 if p == q else len(a))
-            n = np.bincount(i, c[j], len(ids)) + np.bincount(j, c[i], len(ids))
-            # The smallest vector that links within this strip reach: labels spread over the links until none changes.
-            to = ids.copy()
-            while ((least := np.minimum(to[i], to[j])) < np.maximum(to[i], to[j])).any():
-                np.minimum.at(to, i, least)
-                np.minimum.at(to, j, least)
-            at = np.flatnonzero(n)
-            out.append(pd.DataFrame({"rep": ids[at], "n": n[at].astype(np.int64), "to": to[at]}))
-        return pd.concat(out[1:] or out)
-
-    found = materialize(dealt.groupBy("dim", "cell", "p", "q").applyInPandas(links, "rep long, n long, to long"), "links")
+                j = j + len(a)
+            n += (np.bincount(i, c[j], len(ids)) + np.bincount(j, c[i], len(ids))).astype(np.int64)
+            to = spread(i, j, len(ids), ids)
+            ties.append((at := np.flatnonzero(to != np.arange(len(ids))), to[at]))
+        at = np.flatnonzero(n)
+        to = spread(*(np.concatenate([t[k] for t in ties]) for k in (0, 1)), len(ids), ids) if ties else np.arange(len(ids))
+        return pd.DataFrame({"rep": ids[at], "n": n[at], "to": ids[to[at]]})
+
+    found = materialize(dealt.groupBy("dim", "p", "q").applyInPandas(links, "rep long, n long, to long"), "links")
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("rep"), "component")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     salts = 16

@@ -233,6 +233,28 @@ def test_embeddings_in_few_directions_over_many_cells(spark):
     assert got == {i: int(n) for i, n in enumerate(near.sum(axis=1))}
 
 
+def test_embeddings_in_boxes(spark, monkeypatch):
+    """A vector is sent once a box, however many cells it is a guest in, as it was given; guests of empty cells are not lost."""
+    made = []
+    monkeypatch.setattr(embed_dedup, "materialize", lambda df, name, keep=embed_dedup.materialize: made.append((name, found := keep(df, name))) or found)
+    means = embed_dedup.spherical_kmeans
+    monkeypatch.setattr(embed_dedup, "spherical_kmeans", lambda x, k, **kw: np.concatenate([(m := means(x, k, **kw)), m[:1]]))  # the last cell stays empty
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 24)).astype(np.float32)
+    x[350:] = x[:350] + rng.normal(size=(350, 24)).astype(np.float32) * 0.3
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(df, per_cell=20, block=100).collect()}
+    want = components(range(700), zip(*np.nonzero(near)))
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(700)} and near.any()
+    held = dict(made)
+    assert held["placed"].selectExpr("max(octet_length(x)) AS m").first()["m"] == 24 * 4
+    # 36 cells in 7 boxes or a few more.
+    assert held["hosts"].selectExpr("explode(boxes) AS b").agg({"b": "max"}).first()[0] <= 14
+
+
 def test_close_pairs_beside_the_threshold():
     """Single precision decides nothing: products a billionth above and below the threshold, in sparse, dense and short strips."""
     rng = np.random.default_rng(5)
