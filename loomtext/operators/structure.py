@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtext.functions import text as T
@@ -183,13 +185,58 @@ def straight_quotes(docs: DataFrame) -> DataFrame:
     return parts.withColumn("b", before).withColumn("n", n).where("k % 2 = 1 AND k < n - 1").select("doc_id", (F.col("b") - 1).cast("int").alias("s"), (F.col("b") + F.length("part") + 1).cast("int").alias("e"))
 
 
+def marked_words(docs: DataFrame, segs: DataFrame, starts: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """ledger.offset_ledger() with bibliography and quoted, and front if `starts` (doc_id, front_end) are given.
+
+    The spans of a document join its text, and its words are marked in that row: no table of words is shuffled.
+    """
+
+    @F.pandas_udf("ends array<int>, bibliography array<boolean>, quoted array<boolean>")
+    def marks(pieces: pd.Series, words: pd.Series, parts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
+        """Where the words end, whether they touch spans, and whether quotations of more than `most` words; parts are the lengths between quotation marks."""
+        out = []
+        for piece, word, part, low, high in zip(pieces, words, parts, lows, highs, strict=True):
+            ends = np.cumsum(piece, dtype=np.int64)
+            begins = ends - np.asarray(word, np.int64)
+            at = np.cumsum(np.asarray(part, np.int64) + 1) - 1
+            quotes = [(s, e + 1) for s, e in zip(at[0:-1:2], at[1:-1:2])]
+            found = [ends.astype(np.int32)]
+            for spans, least in ((zip(low, high, strict=True), 0), (quotes, most)):
+                hit = np.zeros(len(ends), bool)
+                for s, e in spans:
+                    lo, hi = np.searchsorted(ends, s, "right"), np.searchsorted(begins, e, "left")
+                    if e > s and hi - lo > least:
+                        hit[lo:hi] = True
+                found.append(hit)
+            out.append(found)
+        return pd.DataFrame(out, columns=["ends", "bibliography", "quoted"])
+
+    spans = bibliography(segs).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    rows = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    rows = rows.withColumn("front_end", F.lit(None).cast("int")) if starts is None else rows.join(starts, "doc_id", "left")
+    lengths = lambda c: F.transform(c, F.length)
+    side = lambda c: F.coalesce(F.col("spans")[c], F.array().cast("array<int>"))
+    cut = rows.select("doc_id", "front_end", F.split("text", '"').alias("parts"), side("s").alias("lows"), side("e").alias("highs"), F.regexp_extract_all("text", F.lit(T.PIECE), F.lit(0)).alias("ps")).where(F.size("ps") > 0)
+    cut = cut.withColumn("raw", F.transform("ps", lambda p: F.regexp_extract(p, T.WORD, 0))).withColumns({"ns": lengths("ps"), "rs": lengths("raw")})
+    cut = cut.select("doc_id", "front_end", "ps", "raw", "rs", marks("ns", "rs", lengths("parts"), "lows", "highs").alias("x"))
+    at = cut.select("doc_id", "front_end", "ps", "raw", "rs", "x.ends", "x.bibliography", "x.quoted", F.explode(F.sequence(F.lit(0), F.size("ps") - 1)).alias("pos"))
+    own = lambda c, k=0: F.get(c, F.col("pos") + k)
+    stop = F.coalesce(own("ps", 1).rlike(r"^[.!?][\"”’)\]]*\s"), F.lit(False))
+    start = own("ends") - own("rs")
+    t = at.select("doc_id", "pos", T.fold(own("raw")).alias("w"), start.alias("start"), own("ends").alias("end"), stop.alias("stop"), own("bibliography").alias("bibliography"), own("quoted").alias("quoted"), F.coalesce(start < F.col("front_end"), F.lit(False)).alias("front"))
+    return t.drop("front") if starts is None else t
+
+
 def ledger_with_masks(docs: DataFrame, joins: DataFrame | None = None, contents: str = CONTENTS) -> DataFrame:
     """Offset ledger with front, bibliography, quoted and eligible columns; with `joins` (ledger.line_joins), broken words are one."""
     from loomtext.operators import score
 
     segs = segments(docs)
-    t = L.offset_ledger(docs) if joins is None else L.joined_ledger(docs, joins)
-    t = L.mask(t, bibliography(segs), "bibliography")
-    t = L.mask(t, long_quotes(t, straight_quotes(docs)), "quoted")
-    t = t.join(abstract_start(docs, segs, contents), "doc_id", "left").withColumn("front", F.coalesce(F.col("start") < F.col("front_end"), F.lit(False))).drop("front_end")
+    starts = abstract_start(docs, segs, contents)
+    if joins is None:
+        t = marked_words(docs, segs, starts)
+    else:
+        t = L.mask(L.joined_ledger(docs, joins), bibliography(segs), "bibliography")
+        t = L.mask(t, long_quotes(t, straight_quotes(docs)), "quoted")
+        t = t.join(starts, "doc_id", "left").withColumn("front", F.coalesce(F.col("start") < F.col("front_end"), F.lit(False))).drop("front_end")
     return t.withColumn("eligible", score.eligible(F.col("front"), F.col("bibliography"), F.col("quoted")))

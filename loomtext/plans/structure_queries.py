@@ -53,7 +53,8 @@ def word_accounting(spark, d):
 
 
 def boundary_regions(spark, d):
-    t = L.regions(R.ledger_with_masks(_built(spark, d)), "bibliography", "quoted")
+    docs = _built(spark, d)
+    t = L.regions(R.marked_words(docs, R.segments(docs)), "bibliography", "quoted")
     return t.groupBy("doc_id").agg((F.max("region") + 1).cast("long").alias("regions"))
 
 

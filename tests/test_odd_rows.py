@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomtext.operators import ledger as L
+from loomtext.operators import ledger as L, structure as R
 from loomtext.plans import registry
 
 from .test_oracles import rows
@@ -47,3 +47,17 @@ def test_runs_are_counted_without_a_shuffle_of_texts(spark):
     plan = L.gram_counts(docs, (2, 3))._jdf.queryExecution().optimizedPlan().toString()
     own = plan.split("Union")[1].split(":- Aggregate")[0]
     assert "array_distinct" in own and "Aggregate [doc_id#" in own and sorted(map(tuple, L.gram_counts(docs, (2, 3)).collect())) == [(1, 1, 1, 3), (1, 2, 2, 2), (2, 1, 1, 2)]
+
+
+def test_words_are_marked_in_their_texts_row(spark):
+    """The same marks as by sweeps over a token table, of which none is shuffled: texts meet their spans."""
+    texts = ["", None, 'x "one two three" y "one two three four" z "open', '""" a "b c d e"', "Intro\nwords\n\nReferences\n[1] One, A. it’s.\n[2] 𝄞 two \"q r s t\" u\n\nAppendix A\nLast. Words", "References\n[1] first\nAbstract\nsix words or more follow here now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    segs = R.segments(docs)
+    want = L.mask(L.offset_ledger(docs), R.bibliography(segs), "bibliography")
+    want = L.mask(want, R.long_quotes(want, R.straight_quotes(docs)), "quoted")
+    got = R.marked_words(docs, segs)
+    ordered = lambda df: sorted(map(tuple, df.select("doc_id", "pos", "w", "start", "end", "stop", "bibliography", "quoted").collect()))
+    assert ordered(got) == ordered(want) and {r[6:] for r in ordered(got)} >= {(True, False), (False, True), (True, True)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan[: plan.index("Join")] and "Union" not in plan
