@@ -185,8 +185,8 @@ def straight_quotes(docs: DataFrame) -> DataFrame:
     return parts.withColumn("b", before).withColumn("n", n).where("k % 2 = 1 AND k < n - 1").select("doc_id", (F.col("b") - 1).cast("int").alias("s"), (F.col("b") + F.length("part") + 1).cast("int").alias("e"))
 
 
-def marked_words(docs: DataFrame, segs: DataFrame, starts: DataFrame | None = None, most: int = 3) -> DataFrame:
-    """ledger.offset_ledger() with bibliography and quoted, and front if `starts` (doc_id, front_end) are given.
+def marked_texts(docs: DataFrame, segs: DataFrame, starts: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """(doc_id, front_end, ps, raw, rs, ends, bibliography, quoted): arrays over the words of each text that has any.
 
     The spans of a document join its text, and its words are marked in that row: no table of words is shuffled.
     """
@@ -219,7 +219,20 @@ def marked_words(docs: DataFrame, segs: DataFrame, starts: DataFrame | None = No
     cut = rows.select("doc_id", "front_end", F.split("text", '"').alias("parts"), side("s").alias("lows"), side("e").alias("highs"), F.regexp_extract_all("text", F.lit(T.PIECE), F.lit(0)).alias("ps")).where(F.size("ps") > 0)
     cut = cut.withColumn("raw", F.transform("ps", lambda p: F.regexp_extract(p, T.WORD, 0))).withColumns({"ns": lengths("ps"), "rs": lengths("raw")})
     cut = cut.select("doc_id", "front_end", "ps", "raw", "rs", marks("ns", "rs", lengths("parts"), "lows", "highs").alias("x"))
-    at = cut.select("doc_id", "front_end", "ps", "raw", "rs", "x.ends", "x.bibliography", "x.quoted", F.explode(F.sequence(F.lit(0), F.size("ps") - 1)).alias("pos"))
+    return cut.select("doc_id", "front_end", "ps", "raw", "rs", "x.ends", "x.bibliography", "x.quoted")
+
+
+def region_counts(marked: DataFrame, *masks: str) -> DataFrame:
+    """(doc_id, regions): how many stretches of words with the same masks each of marked_texts() has."""
+    state = lambda k: F.struct(*[F.get(m, k) for m in masks])
+    cuts = F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda k: (k > 0) & (state(k) != state(k - 1)))
+    return marked.select("doc_id", (F.size(cuts) + 1).cast("long").alias("regions"))
+
+
+def marked_words(docs: DataFrame, segs: DataFrame, starts: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """ledger.offset_ledger() with bibliography and quoted, and front if `starts` (doc_id, front_end) are given."""
+    cut = marked_texts(docs, segs, starts, most)
+    at = cut.select("doc_id", "front_end", "ps", "raw", "rs", "ends", "bibliography", "quoted", F.explode(F.sequence(F.lit(0), F.size("ps") - 1)).alias("pos"))
     own = lambda c, k=0: F.get(c, F.col("pos") + k)
     stop = F.coalesce(own("ps", 1).rlike(r"^[.!?][\"”’)\]]*\s"), F.lit(False))
     start = own("ends") - own("rs")

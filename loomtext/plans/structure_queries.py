@@ -54,8 +54,7 @@ def word_accounting(spark, d):
 
 def boundary_regions(spark, d):
     docs = _built(spark, d)
-    t = L.regions(R.marked_words(docs, R.segments(docs)), "bibliography", "quoted")
-    return t.groupBy("doc_id").agg((F.max("region") + 1).cast("long").alias("regions"))
+    return R.region_counts(R.marked_texts(docs, R.segments(docs)), "bibliography", "quoted")
 
 
 def logical_view(spark, d):

@@ -61,3 +61,5 @@ def test_words_are_marked_in_their_texts_row(spark):
     assert ordered(got) == ordered(want) and {r[6:] for r in ordered(got)} >= {(True, False), (False, True), (True, True)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan[: plan.index("Join")] and "Union" not in plan
+    counts = L.regions(got, "bibliography", "quoted").groupBy("doc_id").agg({"region": "max"}).collect()
+    assert {tuple(r) for r in R.region_counts(R.marked_texts(docs, segs), "bibliography", "quoted").collect()} == {(d, n + 1) for d, n in counts}
